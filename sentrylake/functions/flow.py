@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FLOW_FEATURES, HEADER_FEATURES
-from .numeric import finite, safe_num, safe_ratio
+from .numeric import finite, safe_ratio
 
 _COUNTERS = {
     "fwd_pkts_tot": "pkts_toserver",
@@ -66,7 +66,11 @@ def flow_feature_columns(columns, mode: str = "live") -> dict[str, Column]:
     else:
         seconds = duration_us() / F.lit(1e6)
     per = F.when(seconds > 0, seconds).otherwise(F.lit(1.0))
-    limit = safe_num if mode == "live" else finite
+
+    def limit(c: Column) -> Column:
+        # whole counts over a positive length: never NaN, so only the live path's bounds remain
+        return F.least(F.greatest(c, F.lit(-1e12)), F.lit(1e12)) if mode == "live" else c
+
     return {
         "flow_duration": limit(seconds),
         "fwd_pkts_tot": fwd,

@@ -39,7 +39,12 @@ def classify_signature(sig) -> Column:
 
 
 def _map_text(text: Column) -> Column:
-    return _chain([(text.contains(k), F.lit(v)) for k, v in P.ALERT_TEXT_MAP], F.lit(None).cast("string"))
+    # a phrase is skipped when an earlier one with the same class already covers it
+    pairs = [
+        (k, v) for i, (k, v) in enumerate(P.ALERT_TEXT_MAP)
+        if not any(o in k and c == v for o, c in P.ALERT_TEXT_MAP[:i])
+    ]
+    return _chain([(text.contains(k), F.lit(v)) for k, v in pairs], F.lit(None).cast("string"))
 
 
 def label_alert_live(signature, category, severity) -> Column:
@@ -134,7 +139,7 @@ def resolve_candidates(candidates) -> Column:
     """
     cands = F.filter(F.coalesce(_c(candidates), F.array().cast(f"array<{CANDIDATE}>")), lambda x: x.isNotNull())
     label = F.coalesce(
-        *[F.when(F.exists(cands, lambda x, n=n: x["label"] == n), F.lit(n)) for n in P.LABEL_ORDER]
+        *[F.when(F.array_contains(F.transform(cands, lambda x: x["label"]), n), F.lit(n)) for n in P.LABEL_ORDER]
     )
     agree = F.filter(cands, lambda x: x["label"] == label)
     scores = F.transform(agree, lambda x: x["score"])

@@ -35,8 +35,7 @@ def safe_ratio(num, den, default: float = 0.0) -> Column:
 
 def to_number(c, default: float = 0.0) -> Column:
     """Number with only unreadable or NaN values replaced (infinities stay)."""
-    v = _num(c, False)
-    return F.when(v.isNull() | F.isnan(v), F.lit(float(default))).otherwise(v)
+    return F.coalesce(F.nanvl(_num(c, False), F.lit(float(default))), F.lit(float(default)))
 
 
 def to_int(c) -> Column:
@@ -56,7 +55,4 @@ def conform_vector(vec, n: int) -> Column:
 
 def unit_interval(c) -> Column:
     """NaN and -Inf to 0, +Inf to 1, everything else clipped to [0, 1]."""
-    return (
-        F.when(c.isNull() | F.isnan(c), F.lit(0.0))
-        .otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
-    )
+    return F.least(F.greatest(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

@@ -16,8 +16,11 @@ def _c(c) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
-    """True when any word occurs in ``text``; false for NULL text or no words."""
-    tests = [text.contains(w) for w in words]
+    """True when any word occurs in ``text``; false for NULL text or no words.
+
+    A word that contains another one of the list needs no test of its own.
+    """
+    tests = [text.contains(w) for w in words if not any(o != w and o in w for o in words)]
     return F.coalesce(reduce(or_, tests), F.lit(False)) if tests else F.lit(False)
 
 

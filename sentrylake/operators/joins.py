@@ -20,24 +20,13 @@ def flow_keys() -> Column:
 
     Key texts of different kinds never meet, so one column can hold all of them.
     """
-    community = F.when(
-        F.coalesce(F.col("community_id"), F.lit("")) != "",
-        F.struct(F.lit(0).alias("prio"), F.concat(F.lit("c|"), F.col("community_id")).alias("key")),
-    )
-    flow = F.when(
-        F.coalesce(F.col("flow_id"), F.lit(0)) != 0,
-        F.struct(F.lit(1).alias("prio"), F.concat(F.lit("f|"), F.col("flow_id").cast("string")).alias("key")),
-    )
-    ports = F.concat_ws(
-        "|",
-        F.lit("t"),
-        F.coalesce("src_ip", F.lit("")),
-        F.coalesce("dest_ip", F.lit("")),
-        F.coalesce("src_port", F.lit(0)).cast("string"),
-        F.coalesce("dest_port", F.lit(0)).cast("string"),
-        F.upper(F.coalesce("proto", F.lit(""))),
-    )
-    return F.array_compact(F.array(community, flow, F.struct(F.lit(2).alias("prio"), ports.alias("key"))))
+    return F.expr("""
+        array_compact(array(
+          CASE WHEN community_id <> '' THEN named_struct('prio', 0, 'key', concat('c|', community_id)) END,
+          CASE WHEN flow_id <> 0 THEN named_struct('prio', 1, 'key', concat('f|', flow_id)) END,
+          named_struct('prio', 2, 'key', concat_ws('|', 't', coalesce(src_ip, ''), coalesce(dest_ip, ''),
+            coalesce(src_port, 0), coalesce(dest_port, 0), upper(coalesce(proto, '')))))
+        )""")
 
 
 def asof_flow_features(
@@ -72,17 +61,16 @@ def asof_flow_features(
 
 def features_from_hit(joined: DataFrame, alert_columns) -> DataFrame:
     """Flow features from the struct ``_hit`` (prio, t_us and raw flow columns; NULL for a miss)."""
-    hit = F.col("_hit").isNotNull()
-    own = F.col("has_flow") if "has_flow" in alert_columns else F.lit(True)
+    own = "has_flow" if "has_flow" in alert_columns else "true"
     kept = [c for c in alert_columns if c not in _RAW and c not in FLOW_FEATURES]
     # One set of raw columns: the hit's, else the alert's own, else zeros.
-    counters = [F.when(hit, F.col(f"_hit.{c}")).when(own, F.col(c)).alias(c) for c in _COUNTERS]
-    anchor = F.when(hit, F.col("_hit.t_us")).otherwise(F.col("t_us"))
+    counters = [f"CASE WHEN _hit IS NOT NULL THEN _hit.{c} WHEN {own} THEN {c} END AS {c}" for c in _COUNTERS]
+    anchor = "coalesce(_hit.t_us, t_us)"
     bounds = [
-        F.when(hit, F.coalesce(F.col(f"_hit.{c}"), anchor)).when(own, F.col(c)).otherwise(anchor).alias(c)
+        f"CASE WHEN _hit IS NOT NULL THEN coalesce(_hit.{c}, {anchor}) WHEN {own} THEN {c} ELSE t_us END AS {c}"
         for c in ("start_us", "end_us")
     ]
-    raw = joined.select(*kept, *bounds, *counters, hit.alias("hit"), F.col("_hit.prio").alias("hit_key"))
+    raw = joined.selectExpr(*kept, *bounds, *counters, "_hit IS NOT NULL AS hit", "_hit.prio AS hit_key")
     feats = flow_feature_columns(raw.columns, "live")
     return raw.select(*kept, "hit", "hit_key", *[c.alias(n) for n, c in feats.items()])
 

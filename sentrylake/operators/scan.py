@@ -38,7 +38,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def slice_of(t, width: int) -> Column:
     """Number of the slice of ``width`` that ``t`` falls into (floor division, also below 0)."""
-    t = F.col(t) if isinstance(t, str) else t
+    if isinstance(t, str):
+        return F.expr(f"(`{t}` - pmod(`{t}`, {width}L)) div {width}L")
     width = F.lit(width).cast("bigint")
     return F.call_function("div", t - F.pmod(t, width), width)
 
@@ -65,21 +66,24 @@ def sliced_scan(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), first)).alias(f"_l_{c}") for c in lasts],
     )
     before = W.partitionBy(*keys).orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
+    # Renamed keys keep the two sides of the join free of common attributes.  Spark then leaves
+    # both copies of ``df`` alike and shuffles it once (ReusedExchange).
+    on = [*keys, slice_col]
     carried = totals.select(
-        *keys,
-        slice_col,
-        *[F.sum(f"_s_{c}").over(before).alias(f"_s_{c}") for c in sums],
-        *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_l_{c}") for c in lasts],
+        *[F.col(c).alias(f"_k_{c}") for c in on],
+        *[F.sum(f"_s_{c}").over(before).alias(f"_c_{c}") for c in sums],
+        *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in lasts],
     )
     scanned = df.select(
-        *[c for c in df.columns if c not in sums and c not in lasts],
+        *[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in df.columns if c not in sums and c not in lasts],
         *[F.sum(c).over(local).alias(c) for c in sums],
         *[F.last(c, ignorenulls=True).over(local).alias(c) for c in lasts],
     )
-    joined = scanned.join(carried, [*keys, slice_col])
+    same = [F.col(f"_r_{c}") == F.col(f"_k_{c}") for c in on]
+    joined = scanned.join(carried, same).withColumnsRenamed({f"_r_{c}": c for c in on})
     out = {c: F.col(c) for c in df.columns}
-    out |= {c: (F.col(c) + F.coalesce(F.col(f"_s_{c}"), F.lit(0))).alias(c) for c in sums}
-    out |= {c: F.coalesce(F.col(c), F.col(f"_l_{c}")).alias(c) for c in lasts}
+    out |= {c: (F.col(c) + F.coalesce(F.col(f"_c_{c}"), F.lit(0))).alias(c) for c in sums}
+    out |= {c: F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) for c in lasts}
     return joined.select(*out.values())
 
 
@@ -108,25 +112,19 @@ def window_counts(
         .agg(*[F.count_if(cond).alias(f"_n_{name}") for name, cond in counters.items()])
     )
     outs = list(frames)
-    real = F.lit(True) if wanted is None else F.col(f"_n_{wanted}") > 0
-
-    def step(at: Column, is_real: Column, sign: int, active: set[str]) -> Column:
-        return F.struct(
-            at.alias(t),
-            is_real.alias("_real"),
-            *[
-                (F.col(f"_n_{frames[o][0]}") * sign if o in active else F.lit(0)).cast("bigint").alias(o)
-                for o in outs
-            ],
-        )
+    real = "true" if wanted is None else f"_n_{wanted} > 0"
+
+    def step(at: str, is_real: str, sign: str, active: set[str]) -> str:
+        counts = [f"'{o}', {sign}_n_{frames[o][0]}" if o in active else f"'{o}', 0L" for o in outs]
+        return f"named_struct('{t}', {at}, '_real', {is_real}, {', '.join(counts)})"
 
-    steps = [step(F.col(t), real, 1, set(outs))]
+    steps = [step(f"`{t}`", real, "", set(outs))]
     for width in sorted({w for _, w in frames.values()}):
         ending = {o for o in outs if frames[o][1] == width}
-        any_rows = F.greatest(*[F.col(f"_n_{frames[o][0]}") for o in ending], F.lit(0)) > 0
-        steps.append(F.when(any_rows, step(F.col(t) + width + 1, F.lit(False), -1, ending)))
+        some = " OR ".join(f"_n_{c} > 0" for c in sorted({frames[o][0] for o in ending}))
+        steps.append(f"CASE WHEN {some} THEN {step(f'`{t}` + {width + 1}L', 'false', '-', ending)} END")
     deltas = (
-        per_t.select(key, F.explode(F.array_compact(F.array(*steps))).alias("_d"))
+        per_t.select(key, F.expr(f"explode(array_compact(array({', '.join(steps)})))").alias("_d"))
         .select(key, "_d.*")
         .withColumn("_slice", slice_of(t, slice_us))
     )

@@ -114,7 +114,8 @@ def read_flow_csv(spark, sf):
     heads = body.select("_f").distinct().join(F.broadcast(header))
     body.withColumn("_o", F.lit(1)).unionByName(heads.select("value", "_f", F.lit(0).alias("_o"))).repartition(
         "_f").sortWithinPartitions("_f", "_o").select("value").write.text(path)
-    return flow_csv.read_flow_csv(spark, path)
+    table = flow_csv.read_flow_csv(spark, path)
+    return table.withColumns({"event_id": F.col("event_id").cast("bigint"), "dest_port": F.col("dest_port").cast("int")})
 
 
 _CONFORM = ("timestamp", "src_ip", "dst_ip", "signature", "action", "y_reason")

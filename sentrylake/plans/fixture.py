@@ -82,11 +82,11 @@ _ALERT_FIELDS = ("signature", "category", "severity", "signature_id")
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with alert fields only on alerts and flow fields only on flows and alerts."""
     raw = raw_events(spark, sf_dir)
-    is_alert, has_flow = F.col("event_type") == "alert", F.col("event_type") != "dns"
-    return raw.withColumns(
-        {c: F.when(is_alert, F.col(c)) for c in _ALERT_FIELDS}
-        | {c: F.when(has_flow, F.col(c)) for c in _FLOW_FIELDS}
-        | {"has_alert": is_alert, "has_flow": has_flow}
+    limited = {c: f"CASE WHEN event_type = 'alert' THEN {c} END AS {c}" for c in _ALERT_FIELDS}
+    limited |= {c: f"CASE WHEN event_type <> 'dns' THEN {c} END AS {c}" for c in _FLOW_FIELDS}
+    return raw.selectExpr(
+        *[limited.get(c, c) for c in raw.columns],
+        "event_type = 'alert' AS has_alert", "event_type <> 'dns' AS has_flow",
     )
 
 

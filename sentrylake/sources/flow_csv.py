@@ -24,9 +24,9 @@ def sniff_delimiter(lines: list[str]) -> str:
 
 
 def read_flow_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All columns as text; lines with too many fields are skipped, short ones are padded with NULL.
+    """All columns as text; lines with too many fields are skipped, short ones are padded.
 
-    Empty fields stay '' and texts like 'NA' are kept.  Only the first lines are looked at on
+    Empty and missing fields are '' and texts like 'NA' are kept.  Only the first lines are looked at on
     the driver, for the delimiter and the header.
     """
     head = [r[0] for r in spark.read.text(path).limit(20).collect()]
@@ -37,6 +37,7 @@ def read_flow_csv(spark: SparkSession, path: str, delimiter: str | None = None)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _SPARE]])
     table = spark.read.csv(
         path, schema=schema, sep=delimiter, header=True, quote='"', escape="\\",
-        mode="PERMISSIVE", nullValue="\u0000", emptyValue="", enforceSchema=True,
+        mode="PERMISSIVE", emptyValue="", enforceSchema=True,
     )
-    return table.filter(F.col(_SPARE).isNull()).drop(_SPARE)
+    fits = table.filter(F.col(_SPARE).isNull())
+    return fits.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header])

@@ -35,20 +35,14 @@ _DECIDED = (
 )
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "side", "event_id"], kind="stable")
-
-
-def _expire(state: GroupState, at_us: int) -> None:
-    state.setTimeoutTimestamp(max(at_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-
 def _enricher(ttl_us: int):
+    """State function of query 1; holds plain values only, so that workers need no import of this package."""
+
     def enrich(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _in_order(pdfs)
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "side", "event_id"], kind="stable")
         held_t, held = state.get if state.exists else (None, None)
         t = rows["t_us"].to_numpy()
         is_flow = (rows["side"] == 0).to_numpy()
@@ -72,7 +66,7 @@ def _enricher(ttl_us: int):
         passed["entry"] = None
         if newest[0] is not None:
             state.update(newest)
-            _expire(state, newest[0] + ttl_us)
+            state.setTimeoutTimestamp(max((newest[0] + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.concat([out, passed])[["side", "event_id", "t_us", "prio", "payload", "entry"]]
 
     return enrich
@@ -140,14 +134,17 @@ ENRICHED_SCHEMA = (
 
 
 def _decider(params: Params, whitelist: frozenset[str]):
-    kept = params.stamps_kept
-    longest = max(params.flow_window_us, params.alert_window_us, params.hit_window_us, params.syn_hit_window_us)
+    """State function of query 2; holds plain values only, like the one of query 1."""
+    kept, min_hits, gap_us, block_us = params.stamps_kept, params.min_hits, params.notify_gap_us, params.block_us
+    flow_us, alert_us = params.flow_window_us, params.alert_window_us
+    hit_us, syn_hit_us = params.hit_window_us, params.syn_hit_window_us
+    longest = max(flow_us, alert_us, hit_us, syn_hit_us)
 
     def decide_source(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _in_order(pdfs)
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "side", "event_id"], kind="stable")
         memory = json.loads(state.get[0]) if state.exists else {
             "flows": [], "alerts": [], "syn": [], "sent": {}, "until": None
         }
@@ -168,15 +165,15 @@ def _decider(params: Params, whitelist: frozenset[str]):
 
         out = pd.DataFrame({
             "event_id": seen["event_id"].to_numpy(),
-            "n_flows": count("flows", params.flow_window_us),
-            "n_alerts": count("alerts", params.alert_window_us),
-            "n_syn": count("syn", params.alert_window_us),
-            "n_hits": count("alerts", params.hit_window_us),
-            "n_syn_hits": count("alerts", params.syn_hit_window_us),
+            "n_flows": count("flows", flow_us),
+            "n_alerts": count("alerts", alert_us),
+            "n_syn": count("syn", alert_us),
+            "n_hits": count("alerts", hit_us),
+            "n_syn_hits": count("alerts", syn_hit_us),
         })
-        multi = out["n_hits"].to_numpy() >= params.min_hits
+        multi = out["n_hits"].to_numpy() >= min_hits
         trigger = seen["flood"].to_numpy(dtype=bool) & (
-            (out["n_syn_hits"].to_numpy() >= params.min_hits) | (out["n_alerts"].to_numpy() >= params.min_hits)
+            (out["n_syn_hits"].to_numpy() >= min_hits) | (out["n_alerts"].to_numpy() >= min_hits)
         )
         block = seen["ready"].to_numpy(dtype=bool) & (
             seen["strong"].to_numpy(dtype=bool) | (~seen["allowed"].to_numpy(dtype=bool) & (multi | trigger))
@@ -187,9 +184,9 @@ def _decider(params: Params, whitelist: frozenset[str]):
         for at, sig, wants in zip(t.tolist(), seen["signature"].tolist(), block.tolist()):
             opens = wants and (memory["until"] is None or at >= memory["until"])
             if opens:
-                memory["until"] = at + params.block_us
+                memory["until"] = at + block_us
             blocked.append(opens)
-            tells = sig not in sent or at - sent[sig] >= params.notify_gap_us
+            tells = sig not in sent or at - sent[sig] >= gap_us
             if tells:
                 sent[sig] = at
             notified.append(tells)
@@ -198,10 +195,11 @@ def _decider(params: Params, whitelist: frozenset[str]):
 
         last = int(t_all.max())
         recent = {k: s[s >= last - longest][-kept:].tolist() for k, s in stamps.items()}
-        recent["sent"] = {s: x for s, x in sent.items() if last - x < params.notify_gap_us}
+        recent["sent"] = {s: x for s, x in sent.items() if last - x < gap_us}
         recent["until"] = memory["until"]
         state.update((json.dumps(recent),))
-        _expire(state, max(last + max(longest, params.notify_gap_us), memory["until"] or 0))
+        idle = max(last + max(longest, gap_us), memory["until"] or 0)
+        state.setTimeoutTimestamp(max(idle // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield out
 
     return decide_source
