@@ -25,11 +25,11 @@ RATIO_MODES = ("live", "eval", "vector")
 
 def duration_us(has_fallback: bool = False) -> Column:
     """Flow length in microseconds, never negative; event time stands in for a missing bound."""
-    span = F.greatest(
-        F.coalesce(F.col("end_us"), F.col("t_us")) - F.coalesce(F.col("start_us"), F.col("t_us")),
-        F.lit(0).cast("bigint"),
-    )
-    return span if has_fallback else F.coalesce(span, F.lit(0).cast("bigint"))
+    span = F.coalesce(F.col("end_us"), F.col("t_us")) - F.coalesce(F.col("start_us"), F.col("t_us"))
+    zero = F.lit(0).cast("bigint")
+    if has_fallback:  # stays NULL where no bound is known
+        return F.when(span.isNotNull(), F.greatest(span, zero))
+    return F.greatest(span, zero)
 
 
 def ratio(fwd: Column, bwd: Column, mode: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text, times
 from ..schema import CATEGORY_FEATURES
-from .scan import dense_codes, slice_of, take_by_hash
+from .scan import dense_codes, materialise, slice_of, take_by_hash
 
 
 def fit_minmax(train: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def category_codes(df: DataFrame, column: str, missing: str, first_seen: Sequenc
 def encode(df: DataFrame, column: str, missing: str, codes: DataFrame, out: str) -> DataFrame:
     """Adds the code of ``column``; Spark broadcasts the dictionary only if it measures small."""
     key = F.coalesce(F.col(column), F.lit(missing))
-    named = codes.select(F.col("value").alias("_v"), F.col("code").alias(out))
+    named = materialise(codes.select(F.col("value").alias("_v"), F.col("code").alias(out)))
     return df.withColumn("_v", key).join(named, "_v", "left").drop("_v")
 
 
@@ -137,4 +137,4 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     weights = counts.withColumn("_t", totals).select(
         label, (F.col("_t.n") / (F.col("_t.k") * F.col("_n"))).alias(out)
     )
-    return df.join(weights, label)
+    return df.join(materialise(weights), label)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,21 +20,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+def checkpoint_root(spark: SparkSession) -> str:
+    """Shared folder for written intermediates: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a private one is used
-    only where nothing is set, as in tests.
+    A private folder is used only where nothing is set, as in tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="sentrylake-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="sentrylake-")
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder and goes on from there.
+
+    This cuts the lineage, survives lost executors, computes ``df`` once, lets later steps read
+    only the columns they need, and gives Spark the true size: a table is broadcast in a later
+    join only if it measures below the broadcast threshold.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/sentrylake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slice_of(t, width: int) -> Column:
@@ -179,8 +187,10 @@ def chained_gap(
     stats = sizes.agg(F.max("_n"), F.max(F.when(F.col("_n") > fold_limit, F.col("_hi") - F.col("_lo")))).first()
     if stats[0] is None or stats[0] <= fold_limit:
         return _fold(distinct, keys, t, gap_us)
-    small = distinct.join(sizes.filter(F.col("_n") <= fold_limit).select(*keys), keys, "left_semi")
-    large = distinct.join(sizes.filter(F.col("_n") > fold_limit).select(*keys, "_lo"), keys)
+    # at most total / fold_limit keys; broadcast only if their table measures small
+    long_keys = materialise(sizes.filter(F.col("_n") > fold_limit).select(*keys, "_lo"))
+    small = distinct.join(long_keys, keys, "left_anti")
+    large = distinct.join(long_keys, keys)
     kept = _follow(materialise(large), keys, t, gap_us, stats[1])
     return _fold(small, keys, t, gap_us).unionByName(kept)
 
@@ -235,25 +245,27 @@ def _follow(large: DataFrame, keys: list[str], t: str, gap_us: int, span_us: int
                 )
             )
         )
-    kept = rel.filter("_x = 0").select(*keys, "_x")
+    kept = rel.filter("_x = 0").select(*keys, "_lo", "_x")
     for k in range(depth, 0, -1):
         width = gap_us * (1 << k)
         same = slice_of(F.col("_x"), width) == slice_of(F.col("_y"), width)
-        more = kept.join(levels[k - 1], [*keys, "_x"]).filter(same).select(*keys, F.col("_y").alias("_x"))
+        more = kept.join(levels[k - 1], [*keys, "_x"]).filter(same).select(*keys, "_lo", F.col("_y").alias("_x"))
         kept = materialise(kept.unionByName(more))
-    origin = large.groupBy(*keys).agg(F.first("_lo").alias("_lo"))
-    return kept.join(origin, keys).select(*keys, (F.col("_x") + F.col("_lo")).alias(t))
+    return kept.select(*keys, (F.col("_x") + F.col("_lo")).alias(t))
 
 
 def rolling_mean(df: DataFrame, key: str, order: Sequence[str], value: str, rows: int, out: str,
-                 t: str, slice_us: int = 10_000_000, block_rows: int = 100_000) -> DataFrame:
+                 block_rows: int = 100_000) -> DataFrame:
     """Mean of the latest ``rows`` values of each key, the current row included.
 
-    Rows are numbered with a sliced scan and cut into blocks of ``block_rows``; the last
-    ``rows - 1`` rows of a block are repeated in the next one, so a plain ROWS frame is exact.
+    A range partitioning over (key, order) cuts the rows into even pieces, also inside a hot
+    key; rows are numbered per piece, with the counts of the earlier pieces added.  Blocks of
+    ``block_rows`` numbers then repeat the last ``rows - 1`` rows of the block before, so a plain
+    ROWS frame is exact.
     """
+    pieces = df.repartitionByRange(key, *order).withColumn("_slice", F.spark_partition_id())
+    sliced = materialise(pieces)  # fixes the piece of every row
     inner = W.partitionBy(key, "_slice").orderBy(*order)
-    sliced = df.withColumn("_slice", slice_of(t, slice_us))
     totals = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_c"))
     before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(key, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"))
@@ -368,8 +380,7 @@ def take_by_hash(df: DataFrame, hash_col: str, tie: str, take: Column, strata: S
         F.max(F.when(F.col("_below") <= F.col("_take"), F.struct("_bin", (F.col("_take") - F.col("_below")).alias("left")))).getField("left").alias("_left"),
     )
     if strata:
-        # one row per stratum; joined by key and left to the optimizer's size estimate
-        marked = binned.join(cut, strata)
+        marked = binned.join(materialise(cut), strata)  # one row per stratum, of measured size
     else:
         one = cut.select(F.struct("_cut", "_left")).scalar()
         marked = binned.withColumn("_c", one).select("*", "_c._cut", "_c._left").drop("_c")

@@ -24,7 +24,7 @@ from ..streaming import dedup, evaluation, follow, rates
 from ..streaming import detect as SD
 from . import detect, fixture
 from .fixture import FIXTURE_PARAMS, SNAPSHOT_US
-from .oracle import ALLOWLISTED, FLOW_RULE, FLOW_SCORE, flow_features, hash32, r6, signature_class, sql
+from .oracle import ALLOWLISTED, FLOW_RULE, FLOW_SCORE, chain, flow_features, hash32, r6, signature_class, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -355,7 +355,8 @@ def blocked_count(spark, sf):
 def _bucketed(spark, sf):
     feats = FF.with_flow_features(fixture.raw_events(spark, sf)).withColumnRenamed("dest_port", "dst_port")
     cols = ("event_id", "signature", "dst_port", *FEATS)
-    return profile.with_bucket(profile.infer_status(feats.select(*cols)))
+    # profiling reads a stored data set
+    return profile.with_bucket(profile.infer_status(scan.materialise(feats.select(*cols))))
 
 
 @query("bucket_counts", "SELECT bucket, count(*) AS n_rows FROM bucketed WHERE bucket IS NOT NULL GROUP BY 1")
@@ -484,7 +485,7 @@ def syn_flood_trigger(spark, sf):
 @query("rolling_mean_100", f"SELECT event_id, {r6('avg(pkts_toserver) OVER (PARTITION BY src_ip ORDER BY t_us, event_id ROWS 99 PRECEDING)', 'mean_100')} FROM flows")
 def rolling_mean_100(spark, sf):
     flows = fixture.flows(spark, sf).select("event_id", "t_us", "src_ip", "pkts_toserver")
-    out = scan.rolling_mean(flows, "src_ip", ["t_us", "event_id"], "pkts_toserver", 100, "mean_100", "t_us")
+    out = scan.rolling_mean(flows, "src_ip", ["t_us", "event_id"], "pkts_toserver", 100, "mean_100")
     return out.select("event_id", r("mean_100", "mean_100"))
 
 
@@ -799,7 +800,13 @@ def block_intervals_60s(spark, sf):
     return rounded(_blocks(spark, sf, 60_000_000), {"confidence"})
 
 
-@query("block_intervals_commands")
+@query("block_intervals_commands", """SELECT c.ip, c.t_us AS block_us,
+    least(c.t_us + 60000000, coalesce((SELECT min(m.t_us) FROM cmd m WHERE m.ip = c.ip AND m.t_us > c.t_us), c.t_us + 60000000)) AS unblock_us,
+    d.reason, round(d.confidence, 6) AS confidence, d.event_id
+  FROM chained c JOIN requests q USING (ip, t_us) JOIN decided d USING (event_id)""", {
+    "cmd": "SELECT DISTINCT src_ip AS ip, t_us FROM flows WHERE k % 9 = 0",
+    "reqs": "SELECT q.ip, q.t_us, coalesce((SELECT max(c.t_us) FROM cmd c WHERE c.ip = q.ip AND c.t_us <= q.t_us), -1) AS since FROM requests q",
+    "chained": chain("reqs", ["ip", "since"], 60_000_000).replace("{self}", "chained")})
 def block_intervals_commands(spark, sf):
     decided = scan.materialise(_decisions(spark, sf).select("event_id", "src_ip", "t_us", "should_block", "reason", "confidence"))
     commands = fixture.flows(spark, sf).filter("k % 9 = 0").select(F.col("src_ip").alias("ip"), "t_us")

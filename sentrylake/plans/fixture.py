@@ -135,7 +135,7 @@ def as_nested(flat: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """New folder below the cluster's checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/sentrylake-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/sentrylake-{uuid.uuid4().hex}"
 
 
 def write_json_lines(spark: SparkSession, sf_dir: str, path: str, noise: bool = False) -> str:

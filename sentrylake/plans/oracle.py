@@ -261,7 +261,7 @@ CTES: dict[str, str] = {
                 "WHEN cls = 'bruteforce' AND NOT (SELECT coalesce(bool_or(cls IN ('bruteforce', 'unknown') AND dst_port = 22), FALSE) FROM prof) THEN 'bruteforce' END AS bucket FROM prof",
 }
 
-RECURSIVE = {"opened", "opened60", "sent"}
+RECURSIVE = {"opened", "opened60", "sent", "chained"}
 
 
 def _needs(sql: str, own: str | None = None) -> list[str]:
@@ -285,5 +285,5 @@ def sql(select: str, extra: dict[str, str] | None = None) -> str:
         for name in _needs(body):
             visit(name)
     parts = [f"{n} AS ({CTES[n]})" for n in order] + [f"{n} AS ({b})" for n, b in extra.items()]
-    head = "WITH RECURSIVE " if RECURSIVE & set(order) else "WITH "
+    head = "WITH RECURSIVE " if RECURSIVE & {*order, *extra} else "WITH "
     return (head + ", ".join(parts) + " " if parts else "") + select
