@@ -362,7 +362,8 @@ def take_by_hash(df: DataFrame, hash_col: str, tie: str, take: Column, strata: S
 
     ``take`` is an expression over ``_total``, the row count of the stratum.  A histogram of the
     hash locates the cut; only rows in the one bin that holds the cut are ranked.
-    ``hash_col`` is a 32-bit number held in a BIGINT.
+    ``hash_col`` is a 32-bit number held in a BIGINT.  ``df`` is read once for the histogram and
+    once per side of the cut, so it should be a stored table rather than a costly plan.
     """
     strata = list(strata)
     width = 1 << 16

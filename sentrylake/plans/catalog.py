@@ -131,7 +131,7 @@ def conform_columns(spark, sf):
 
 
 def _decisions(spark, sf) -> DataFrame:
-    return detect.decisions(fixture.events(spark, sf), fixture.model, FIXTURE_PARAMS)
+    return detect.decisions(fixture.staged(spark, sf), fixture.model, FIXTURE_PARAMS)
 
 
 @query("write_dataset", f"""SELECT event_id, src_ip, dest_ip AS dst_ip, src_port, dest_port AS dst_port, proto, {FEATS_SQL},
@@ -295,7 +295,7 @@ _ENRICHED_SQL = f"SELECT event_id, hit, hit_key, {FEATS_SQL} FROM "
 
 def _enriched(spark, sf, ttl_us=900_000_000):
     from dataclasses import replace
-    flows, alerts = B.split_events(fixture.events(spark, sf))
+    flows, alerts = B.split_events(fixture.staged(spark, sf))
     return J.asof_flow_features(B.admit_alerts(alerts, FIXTURE_PARAMS), flows, replace(FIXTURE_PARAMS, flow_ttl_us=ttl_us))
 
 
@@ -458,7 +458,7 @@ def enrichment_hit_rate(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _rated(spark, sf):
-    flows, alerts = B.split_events(fixture.events(spark, sf))
+    flows, alerts = B.split_events(fixture.staged(spark, sf))
     return windows.with_source_rates(B.admit_alerts(alerts, FIXTURE_PARAMS), flows, FIXTURE_PARAMS)
 
 
@@ -835,7 +835,7 @@ def _detect_out(df):
 
 @query("detect_pipeline", _DETECT_SQL)
 def detect_pipeline(spark, sf):
-    return _detect_out(detect.detect(fixture.events(spark, sf), fixture.model, FIXTURE_PARAMS))
+    return _detect_out(detect.detect(fixture.staged(spark, sf), fixture.model, FIXTURE_PARAMS))
 
 
 @query("windowed_source_rates", """SELECT s * 1000000 AS window_start_us, src_ip,
@@ -875,7 +875,7 @@ def _extent_sql(cols, rel) -> str:
 @query("minmax_scale", f"SELECT event_id, {_scaled_sql(S.RUNTIME_FEATURES)} FROM split, mx",
        {"mx": _extent_sql(S.RUNTIME_FEATURES, "split WHERE is_train")})
 def minmax_scale(spark, sf):
-    marked = prep.train_val_split(_runtime(spark, sf))
+    marked = scan.materialise(prep.train_val_split(scan.materialise(_runtime(spark, sf))))
     path = f"{fixture.scratch(spark)}/scaler"
     prep.fit_minmax(marked.filter("is_train"), S.RUNTIME_FEATURES).write.parquet(path)
     stats = spark.read.parquet(path)
@@ -895,7 +895,7 @@ _CODES = """SELECT {c} AS {c}, CAST(row_number() OVER (ORDER BY {o}) - 1 AS INT)
        {"c1": _CODES.format(c="category", o="f", n="category_enc"), "c2": _CODES.format(c="proto", o="proto", n="proto_enc"),
         "c3": _CODES.format(c="signature", o="signature", n="sig_enc")})
 def encode_categories(spark, sf):
-    return prep.encode_categories(fixture.alerts(spark, sf)).select("event_id", "category_enc", "proto_enc", "sig_enc")
+    return prep.encode_categories(fixture.staged(spark, sf).filter("event_type = 'alert'")).select("event_id", "category_enc", "proto_enc", "sig_enc")
 
 
 @query("train_val_split", "SELECT event_id, is_train FROM split")
@@ -932,7 +932,7 @@ _CAT_EXTRA = {
 
 @query("category_feature_set", f"SELECT event_id, {_scaled_sql(_CAT)} FROM catf, mx", _CAT_EXTRA)
 def category_feature_set(spark, sf):
-    return rounded(prep.category_feature_set(fixture.alerts(spark, sf)), S.CATEGORY_FEATURES)
+    return rounded(prep.category_feature_set(fixture.staged(spark, sf).filter("event_type = 'alert'")), S.CATEGORY_FEATURES)
 
 
 def _attacks(spark, sf) -> DataFrame:
@@ -969,7 +969,7 @@ def _detector_rows(spark, sf):
     feats = FF.with_flow_features(fixture.events(spark, sf))
     label = L.label_flow_rules("flow_duration", "fwd_pkts_tot", "bwd_pkts_tot", "flow_pkts_per_sec", "dest_port")
     rows = feats.withColumn("y", (label["label"] != "benign").cast("int"))
-    return scan.materialise(prep.train_val_split(C.runtime_features_from_dataset(rows, ("event_id", "y"))))
+    return scan.materialise(prep.train_val_split(scan.materialise(C.runtime_features_from_dataset(rows, ("event_id", "y")))))
 
 
 @query("train_detector")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import micros_to_ntz
-from ..operators.scan import checkpoint_root
+from ..operators.scan import checkpoint_root, materialise
 from ..params import DEFAULTS
 
 _BASE = """event_id; user_id; event_type AS kind; CAST({K} AS BIGINT) AS k;
@@ -90,6 +90,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` written once as a table, for plans that read the events several times."""
+    return materialise(events(spark, sf_dir))
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).filter("event_type = 'flow'")
 
