@@ -313,41 +313,64 @@ def dense_codes(values: DataFrame, order: str, slice_expr: Column, out: str) ->
     )
 
 
-def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
+                    steps: int = 4096, small: int = 1_000_000) -> DataFrame:
     """Exact quantiles with linear interpolation: ``groups, prob, quantile``.
 
-    Values are binned by a monotone function; running bin counts locate the one or two ranks of
-    each quantile, and only the rows of those bins are looked at again.  No group is held in one
-    task, unlike the built-in exact percentile, whose state grows with the distinct values.
+    With at most ``small`` distinct values the built-in percentile is used.  Beyond that values
+    are binned by a monotone function; running bin counts locate the one or two ranks of
+    each quantile, and only the rows of those bins are looked at again.  Each such bin is cut once
+    more into ``steps`` even parts, so tightly packed values do not end up in one task either.
+    No group is held in one task, unlike the built-in exact percentile, whose state grows with
+    the distinct values.
     """
     groups = list(groups)
     v = F.col(value)
     bin_of = F.floor(F.signum(v) * F.ln(F.lit(1.0) + F.abs(v)) * 1000).cast("bigint")
     # distinct values first: a value that fills a third of the rows becomes one row
     counted = long.groupBy(*groups, value).agg(F.count("*").alias("_n")).withColumn("_bin", bin_of)
-    bins = counted.groupBy(*groups, "_bin").agg(F.sum("_n").alias("_bn"))
+    counted = materialise(counted)  # read three times below
+    if counted.limit(small + 1).count() <= small:
+        wanted_probs = F.array(*[F.lit(float(p)) for p in probs])
+        both = counted.groupBy(*groups).agg(F.percentile(value, wanted_probs, F.col("_n")).alias("_q"))
+        return both.select(*groups, F.explode(F.arrays_zip(wanted_probs.alias("prob"), F.col("_q").alias("quantile"))).alias("_z")).select(*groups, "_z.*")
     upto = W.partitionBy(*groups).orderBy("_bin")
-    whole = W.partitionBy(*groups)
-    bins = bins.select(
-        *groups, "_bin",
-        (F.sum("_bn").over(upto) - F.col("_bn")).alias("_below"),
-        F.col("_bn"), F.sum("_bn").over(whole).alias("_total"),
+    bins = (
+        counted.groupBy(*groups, "_bin")
+        .agg(F.sum("_n").alias("_bn"), F.min(value).alias("_from"), F.max(value).alias("_to"))
+        .withColumn("_below", F.sum("_bn").over(upto) - F.col("_bn"))
+        .withColumn("_total", F.sum("_bn").over(W.partitionBy(*groups)))
     )
     # wanted zero-based ranks: floor and ceiling of (n - 1) p
     place = (F.col("_total") - 1) * F.col("prob")
+    ranks = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))
     wanted = (
-        bins.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-        .select(*groups, "_bin", "_below", "_bn", "prob", (place - F.floor(place)).alias("_frac"),
-                F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"),
-                F.floor(place).alias("_lo"))
+        bins.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .select(*groups, "_bin", "_below", "_bn", "_from", "_to", "prob", F.floor(place).alias("_lo"),
+                (place - F.floor(place)).alias("_frac"), ranks.alias("_rank"))
         .filter((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_bn")))
     )
-    used = wanted.select(*groups, "_bin", "_below").distinct()
-    inside = W.partitionBy(*groups, "_bin").orderBy(value)
-    ranked = counted.join(used, [*groups, "_bin"]).withColumn("_end", F.sum("_n").over(inside) + F.col("_below"))
+    # at most two rows per quantile and group; broadcast below only if they measure small
+    wanted = materialise(wanted)
+    span = F.col("_to") - F.col("_from")
+    part = F.when(span > 0, F.floor((v - F.col("_from")) / span * steps)).otherwise(F.lit(0)).cast("int")
+    near = counted.join(
+        wanted.select(*groups, "_bin", "_below", "_from", "_to").distinct(), [*groups, "_bin"]
+    ).select(*groups, "_bin", "_below", part.alias("_part"), value, "_n")
+    parts = near.groupBy(*groups, "_bin", "_below", "_part").agg(F.sum("_n").alias("_pn"))
+    before = F.sum("_pn").over(W.partitionBy(*groups, "_bin").orderBy("_part")) - F.col("_pn")
+    parts = parts.select(*groups, "_bin", "_part", (F.col("_below") + before).alias("_start"), "_pn")
+    spots = materialise(
+        wanted.select(*groups, "_bin", "prob", "_frac", "_rank", "_lo").join(parts, [*groups, "_bin"])
+        .filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_pn")))
+    )
+    inside = W.partitionBy(*groups, "_bin", "_part").orderBy(value)
+    ranked = near.join(
+        spots.select(*groups, "_bin", "_part", "_start").distinct(), [*groups, "_bin", "_part"]
+    ).withColumn("_end", F.sum("_n").over(inside) + F.col("_start"))
     hits = (
-        wanted.select(*groups, "_bin", "prob", "_frac", "_rank", "_lo")
-        .join(ranked.select(*groups, "_bin", value, "_n", "_end"), [*groups, "_bin"])
+        spots.select(*groups, "_bin", "_part", "prob", "_frac", "_rank", "_lo")
+        .join(ranked.select(*groups, "_bin", "_part", value, "_n", "_end"), [*groups, "_bin", "_part"])
         .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
     )
     low = F.max(F.when(F.col("_rank") == F.col("_lo"), v))

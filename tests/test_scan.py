@@ -136,7 +136,12 @@ def test_exact_quantiles(spark, seed):
     }
     rows = [(g, v) for g, vs in data.items() for v in vs]
     probs = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
-    out = S.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs).collect()
+    for steps, small in ((4096, 0), (3, 0), (1, 1_000_000)):
+        check_quantiles(spark, rows, data, probs, steps, small)
+
+
+def check_quantiles(spark, rows, data, probs, steps, small):
+    out = S.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs, steps, small).collect()
     assert len(out) == len(data) * len(probs)
     for r in out:
         assert r.quantile == pytest.approx(float(np.quantile(data[r.g], r.prob)), rel=1e-12, abs=1e-12)
