@@ -50,11 +50,12 @@ def asof_flow_features(
     found = asof_last(
         asked, keyed_flows, ["key"], "t_us", _RAW, tie="_flow_id", slice_us=params.slice_us
     ).filter(F.col("t_us") - F.col("_entry_t") <= params.flow_ttl_us)
-    entry = F.struct("prio", F.col("_entry_t").alias("t_us"), *_RAW)
+    values = {"t_us": F.col("_entry_t")} | {c: F.col(c) for c in _RAW}
     best = (
         asked.join(found, ["key", "t_us"])
         .groupBy(id_col)
-        .agg(F.min_by(entry, F.col("prio")).alias("_hit"))
+        .agg(F.min("prio").alias("prio"), *[F.min_by(v, F.col("prio")).alias(f"_h_{c}") for c, v in values.items()])
+        .select(id_col, F.struct("prio", *[F.col(f"_h_{c}").alias(c) for c in values]).alias("_hit"))
     )
     return features_from_hit(alerts.join(best, id_col, "left"), alerts.columns)
 

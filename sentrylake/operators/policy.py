@@ -61,6 +61,7 @@ def decide(df: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     conf = F.col("confidence")
     ready, strong, allowed = decision_conditions(params)
     repeated = ~allowed & (F.col("multi_hit") | F.col("syn_flood_trigger"))
+    # Fixed formats of the reason text.
     auto = F.concat(F.col("auto_label"), F.lit("@"), _two(F.col("auto_label_conf")))
     fast = F.concat(
         F.lit("DRL=BLOCK fast-track (conf "), _two(conf), F.lit("); auto="), auto, F.lit(" from alert+flow")

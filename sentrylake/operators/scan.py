@@ -151,14 +151,15 @@ def asof_last(
     """Latest entry at or before each distinct requested ``(keys, t)``.
 
     Gives ``keys, t, _entry_t`` and the ``payload`` columns (NULL where there is no entry).
-    Entries of one key and time are reduced to the one with the greatest ``tie``.
+    Entries of one key and time are reduced to the one with the greatest ``tie``, a unique
+    column that is needed when there is a payload.
     """
     keys = list(keys)
-    one = F.struct(F.col(t).alias("_entry_t"), *payload)
-    if tie is None:
-        latest = entries.groupBy(*keys, t).agg(F.max(one).alias("_entry"))
-    else:
-        latest = entries.groupBy(*keys, t).agg(F.max_by(one, F.col(tie)).alias("_entry"))
+    # column by column, so that Spark can aggregate by hash (a struct would need a sort)
+    latest = entries.groupBy(*keys, t).agg(*[F.max_by(c, F.col(tie)).alias(c) for c in payload]) if payload else (
+        entries.select(*keys, t).distinct()
+    )
+    latest = latest.select(*keys, t, F.struct(F.col(t).alias("_entry_t"), *payload).alias("_entry"))
     asked = requests.select(*keys, t).distinct()
     both = (
         latest.withColumn("_side", F.lit(0))

@@ -108,12 +108,11 @@ def read_flow_csv(spark, sf):
         F.concat(F.lit('"'), "signature", F.lit('"')), F.when(F.col("k") % 2 == 0, F.lit("NA")).otherwise(F.lit("")),
     )
     lines = ev.select(F.explode(F.array(good, F.concat(good, F.lit(";too;many")))).alias("value"))
-    header = spark.createDataFrame([("event_id;src_ip;dest_port;proto;signature;note",)], "value string")
     # each file of a CSV table carries its own header
-    body = lines.withColumn("_f", F.spark_partition_id())
-    heads = body.select("_f").distinct().join(F.broadcast(header))
-    body.withColumn("_o", F.lit(1)).unionByName(heads.select("value", "_f", F.lit(0).alias("_o"))).repartition(
-        "_f").sortWithinPartitions("_f", "_o").select("value").write.text(path)
+    body = lines.select("value", F.spark_partition_id().alias("_f"), F.lit(1).alias("_o"))
+    head = F.lit("event_id;src_ip;dest_port;proto;signature;note").alias("value")
+    heads = body.select("_f").distinct().select(head, "_f", F.lit(0).alias("_o"))
+    body.unionByName(heads).repartition("_f").sortWithinPartitions("_f", "_o").select("value").write.text(path)
     table = flow_csv.read_flow_csv(spark, path)
     return table.withColumns({"event_id": F.col("event_id").cast("bigint"), "dest_port": F.col("dest_port").cast("int")})
 
@@ -472,6 +471,16 @@ def alert_rates(spark, sf):
     return _rated(spark, sf).select("event_id", "alerts_count_5s", r("syn_only_ratio", "syn_only_ratio"))
 
 
+@query("alerts_count_5s", "SELECT event_id, alerts_count_5s FROM rated_alerts")
+def alerts_count_5s(spark, sf):
+    return _rated(spark, sf).select("event_id", "alerts_count_5s")
+
+
+@query("syn_only_ratio", f"SELECT event_id, {r6('syn_only_ratio', 'syn_only_ratio')} FROM rated_alerts")
+def syn_only_ratio(spark, sf):
+    return _rated(spark, sf).select("event_id", r("syn_only_ratio", "syn_only_ratio"))
+
+
 @query("multi_hit", "SELECT event_id, multi_hit FROM rated_alerts")
 def multi_hit(spark, sf):
     return _rated(spark, sf).select("event_id", "multi_hit")
@@ -539,6 +548,12 @@ def safe_num(spark, sf):
         r(numeric.safe_ratio(F.col("pkts_toserver"), F.col("pkts_toclient"), -1.0), "ratio"))
 
 
+@query("safe_ratio", f"SELECT event_id, {r6('CASE WHEN pkts_toserver = 0 THEN 0 ELSE pkts_toclient::DOUBLE / pkts_toserver END', 'ratio')} FROM eve")
+def safe_ratio(spark, sf):
+    return fixture.raw_events(spark, sf).select(
+        "event_id", r(numeric.safe_ratio(F.col("pkts_toclient"), F.col("pkts_toserver")), "ratio"))
+
+
 @query("time_features", "SELECT event_id, CAST(hour(ts_local) AS INT) AS hour, CAST(isodow(ts_local) - 1 AS INT) AS weekday FROM (SELECT event_id, make_timestamp(orig_us + 25200000000) AS ts_local FROM eve) q")
 def time_features(spark, sf):
     local = times.micros_to_ntz(F.col("orig_us") + fixture.LOCAL_OFFSET_US)
@@ -757,6 +772,11 @@ def infer_status(spark, sf):
     return _bucketed(spark, sf).select("event_id", "status", "cls", "bucket")
 
 
+@query("bucket", "SELECT event_id, bucket FROM bucketed WHERE bucket IS NOT NULL")
+def bucket(spark, sf):
+    return _bucketed(spark, sf).filter("bucket IS NOT NULL").select("event_id", "bucket")
+
+
 @query("standardise_reason", f"SELECT event_id, {_STANDARD} AS attack_type FROM eve")
 def standardise_reason(spark, sf):
     return _reasons(spark, sf).select("event_id", L.standardise_reason("y_reason").alias("attack_type"))

@@ -160,6 +160,10 @@ def write_chunks(spark: SparkSession, sf_dir: str, path: str, chunks: int = 3) -
     span = 520_000_000 // chunks + 1
     start = 1704067200000000
     for i in range(chunks):
-        part = flat.filter((F.col("t_us") >= start + i * span) & (F.col("t_us") < start + (i + 1) * span))
+        part = flat
+        if i > 0:
+            part = part.filter(F.col("t_us") >= start + i * span)
+        if i < chunks - 1:
+            part = part.filter(F.col("t_us") < start + (i + 1) * span)
         as_nested(part).write.mode("append").json(path)
     return path

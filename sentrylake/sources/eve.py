@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import EVE
 
 
-def _usable(df: DataFrame) -> DataFrame:
+def usable(df: DataFrame) -> DataFrame:
     """Malformed lines come out with every field NULL; one odd field does not lose its record."""
     return df.filter(F.coalesce(*[F.col(f.name).cast("string") for f in EVE.fields if not hasattr(f.dataType, "fields")],
                                 *[F.to_json(f.name) for f in EVE.fields if hasattr(f.dataType, "fields")]).isNotNull())
@@ -23,14 +23,14 @@ def read_eve_json(spark: SparkSession, path) -> DataFrame:
     ``log_file`` holds the file each record came from.
     """
     raw = spark.read.schema(EVE).json(path, mode="PERMISSIVE")
-    return _usable(raw.select("*", F.col("_metadata.file_path").alias("log_file")))
+    return usable(raw.select("*", F.col("_metadata.file_path").alias("log_file")))
 
 
 def parse_eve_text(df: DataFrame, column: str = "value") -> DataFrame:
     """The same for JSON held in a text column (for instance a message payload)."""
     parsed = df.withColumn("_e", F.from_json(F.trim(F.col(column)), EVE, {"mode": "PERMISSIVE"}))
     others = [c for c in df.columns if c != column]
-    return _usable(parsed.select(*others, "_e.*"))
+    return usable(parsed.select(*others, "_e.*"))
 
 
 def with_event_id(eve: DataFrame) -> DataFrame:

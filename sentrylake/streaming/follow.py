@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.columns import normalise_event
 from ..schema import EVE
-from ..sources.eve import _usable
+from ..sources.eve import usable
 
 
 def read_eve_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def read_eve_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
     reader = spark.readStream.schema(EVE).option("mode", "PERMISSIVE")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _usable(reader.json(path))
+    return usable(reader.json(path))
 
 
 def follow_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
