@@ -46,7 +46,7 @@ class Params:
     smooth: float = 1.0
     folds: int = 5  # one fold of the sample fits the logistic curve
     window: int = 4096
-    block_bytes: int = 1 << 23
+    block_bytes: int = 1 << 20
 
 
 def _byte_classes() -> np.ndarray:
@@ -241,7 +241,7 @@ def _fit_weights(rows: list[np.ndarray], y: np.ndarray, params: Params) -> Model
     for found in rows:
         value = r[found]
         length = float(value @ value) ** 0.5 or 1.0
-        data.append((np.append(found, WIDTH), np.append(value / length, 1.0)))
+        data.append((np.append(found, WIDTH).astype(np.int32), np.append(value / length, 1.0).astype(np.float32)))
     per = {c: len(y) / (2 * max(1, int((y == c).sum()))) for c in (0, 1)}
     cost = np.array([params.cost * per[int(c)] for c in y])
     w = dual_coordinate_descent(data, np.where(y == 1, 1.0, -1.0), cost, params.epochs)
