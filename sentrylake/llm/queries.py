@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nbsvm, packing, sharding, simhash, topk, toxicity
+from . import forest, mixing, nbsvm, packing, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op6_topk(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op7_forest")
+def op7_forest(spark, sf_dir):
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
