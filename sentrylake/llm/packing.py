@@ -54,7 +54,7 @@ class WordIds(dict):
             words = part.split()
             if len(self) > CACHE_WORDS:
                 self.clear()
-            missing = list(set(words).difference(self))
+            missing = [w for w in set(words) if w not in self]
             for at in range(0, len(missing), 4096):
                 chunk = missing[at : at + 4096]
                 found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in chunk], add_special_tokens=False)
