@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, mixing, nbsvm, packing, sharding, simhash, topk, toxicity
+from . import forest, lm, mixing, nbsvm, packing, sharding, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,11 +38,33 @@ def op2_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query("op3_warc", _WARC_SQL)
+def op3_warc(spark, sf_dir):
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_packing")
 def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op5_lm")
+def op5_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op6_topk")
 def op6_topk(spark, sf_dir):
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
