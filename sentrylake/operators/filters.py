@@ -67,7 +67,7 @@ def benign_sample(flows: DataFrame, params: Params = DEFAULTS, id_col: str = "ev
     })
 
 
-def first_n_alerts(alerts: DataFrame, n: int = 2000, order=("t_us", "event_id")) -> DataFrame:
+def first_n_alerts(alerts: DataFrame, n: int, order=("t_us", "event_id")) -> DataFrame:
     """First ``n`` alerts in file order (a top-k, not a full sort)."""
     return alerts.orderBy(*order).limit(n)
 

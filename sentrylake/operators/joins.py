@@ -13,6 +13,11 @@ from .scan import asof_last, slice_of
 
 _COUNTERS = ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient")
 RAW_FLOW = _RAW = ("start_us", "end_us", *_COUNTERS)
+#: What a flow must keep to be found by later alerts.
+FLOW_CARRY = (
+    "event_id long, t_us long, community_id string, flow_id long, src_ip string, dest_ip string, src_port int, dest_port int, "
+    "proto string, start_us long, end_us long, pkts_toserver long, pkts_toclient long, bytes_toserver long, bytes_toclient long"
+)
 
 
 def flow_keys() -> Column:

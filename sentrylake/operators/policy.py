@@ -85,7 +85,6 @@ def block_intervals(
     block_us: int | None = None,
     params: Params = DEFAULTS,
     commands: DataFrame | None = None,
-    fold_limit: int = 10_000,
     id_col: str = "event_id",
 ) -> DataFrame:
     """Blocks opened by decisions: ``ip, block_us, unblock_us, reason, confidence, event_id``.
@@ -106,7 +105,7 @@ def block_intervals(
         parts = parts.select("ip", "t_us", F.coalesce("_entry_t", F.lit(-(1 << 62))).alias("_since"))
         requests = requests.join(parts, ["ip", "t_us"])
         keys = ["ip", "_since"]
-    opened = chained_gap(requests, keys, "t_us", length, fold_limit)
+    opened = chained_gap(requests, keys, "t_us", length)
     first = requests.groupBy(*keys, "t_us").agg(F.min_by(F.struct(id_col, "reason", "confidence"), id_col).alias("_r"))
     blocks = opened.join(first, [*keys, "t_us"]).select(
         "ip",
@@ -142,12 +141,10 @@ def list_blocked(active: DataFrame) -> DataFrame:
 
 
 def dedup_notifications(
-    alerts: DataFrame, gap_us: int | None = None, params: Params = DEFAULTS, fold_limit: int = 10_000
+    alerts: DataFrame, gap_us: int | None = None, params: Params = DEFAULTS
 ) -> DataFrame:
     """Notifications sent per (src_ip, signature): the first, then each one a gap after the last sent."""
     keyed = alerts.select(
         F.coalesce("src_ip", F.lit("")).alias("src_ip"), F.coalesce("signature", F.lit("")).alias("signature"), "t_us"
     )
-    return chained_gap(
-        keyed, ["src_ip", "signature"], "t_us", params.notify_gap_us if gap_us is None else gap_us, fold_limit
-    )
+    return chained_gap(keyed, ["src_ip", "signature"], "t_us", params.notify_gap_us if gap_us is None else gap_us)

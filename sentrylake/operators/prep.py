@@ -112,21 +112,18 @@ def train_val_split(df: DataFrame, fraction: float = 0.8, seed: int = 42, id_col
 
 
 def stratified_split(df: DataFrame, label: str, fraction: float = 0.2, seed: int = 42, id_col: str = "event_id",
-                     out: str = "is_test") -> DataFrame:
-    """Marks a test share: per class when every class has two rows, else over the whole table.
+                     out: str = "is_test", per_class: bool = True) -> DataFrame:
+    """Marks a test share: at least one row of every class, or of the whole table.
 
-    Tables of fewer than five rows use a share of 0.4.
+    Share and method are the caller's choice (``can_stratify`` tells whether every class has two
+    rows); neither changes with the size of the table.
     """
-    stats = df.groupBy(label).agg(F.count("*").alias("_n")).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)), F.count("*"), F.coalesce(F.min("_n"), F.lit(0))
-    ).first()
-    share = 0.4 if stats[0] < 5 else fraction
     hashed = _with_hash(df, seed, id_col)
-    if stats[1] >= 2 and stats[2] >= 2:
-        take = F.greatest(F.floor(F.col("_total") * F.lit(share) + F.lit(0.5)), F.lit(1))
+    if per_class:
+        take = F.greatest(F.floor(F.col("_total") * F.lit(fraction) + F.lit(0.5)), F.lit(1))
         marked = take_by_hash(hashed, "_h", id_col, take, [label])
     else:
-        marked = take_by_hash(hashed, "_h", id_col, F.ceil(F.col("_total") * F.lit(share)))
+        marked = take_by_hash(hashed, "_h", id_col, F.ceil(F.col("_total") * F.lit(fraction)))
     return marked.withColumnRenamed("_taken", out).drop("_h")
 
 

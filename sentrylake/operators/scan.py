@@ -23,10 +23,14 @@ from pyspark.sql.window import Window as W
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediates: the one the session names in ``spark.checkpoint.dir``.
 
-    A private folder is used only where nothing is set, as in tests.
+    Where nothing is set, a session on one machine (master ``local``) uses a folder of its
+    own; on a cluster that is an error, since executors do not share their disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         named = tempfile.mkdtemp(prefix="sentrylake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -175,39 +179,19 @@ def chained_gap(
     keys: Sequence[str],
     t: str,
     gap_us: int,
-    fold_limit: int = 10_000,
 ) -> DataFrame:
     """Stamps kept when the first is kept and each next one lies ``gap_us`` after the last kept.
 
-    Keys with at most ``fold_limit`` distinct stamps are folded as one sorted array.  Keys with
-    more are followed by pointer doubling over joins, which never holds a key in one task.
+    Chains are followed by pointer doubling over joins, for keys of every size; no key is held in
+    one task.  Keys must not be NULL.
     """
     keys = list(keys)
-    distinct = materialise(stamps.select(*keys, t).distinct())
-    sizes = distinct.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    stats = sizes.agg(F.max("_n"), F.max(F.when(F.col("_n") > fold_limit, F.col("_hi") - F.col("_lo")))).first()
-    if stats[0] is None or stats[0] <= fold_limit:
-        return _fold(distinct, keys, t, gap_us)
-    # at most total / fold_limit keys; broadcast only if their table measures small
-    long_keys = materialise(sizes.filter(F.col("_n") > fold_limit).select(*keys, "_lo"))
-    small = distinct.join(long_keys, keys, "left_anti")
-    large = distinct.join(long_keys, keys)
-    kept = _follow(materialise(large), keys, t, gap_us, stats[1])
-    return _fold(small, keys, t, gap_us).unionByName(kept)
-
-
-def _fold(distinct: DataFrame, keys: list[str], t: str, gap_us: int) -> DataFrame:
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x - acc["last"] >= gap_us)
-        return F.when(
-            keep, F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))
-        ).otherwise(acc)
-
-    ordered = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("_ts"))
-    kept = F.aggregate("_ts", start, step, lambda acc: acc["kept"])
-    return ordered.select(*keys, F.explode(kept).alias(t))
+    distinct = stamps.select(*keys, t).distinct()
+    lows = distinct.groupBy(*keys).agg(F.min(t).alias("_lo")).withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+    placed = materialise(distinct.join(lows, same).select(*keys, t, "_lo"))
+    span = placed.agg(F.max(F.col(t) - F.col("_lo"))).first()[0]
+    return _follow(placed, keys, t, gap_us, span or 0)
 
 
 def _follow(large: DataFrame, keys: list[str], t: str, gap_us: int, span_us: int) -> DataFrame:
@@ -264,6 +248,8 @@ def rolling_mean(df: DataFrame, key: str, order: Sequence[str], value: str, rows
     ``block_rows`` numbers then repeat the last ``rows - 1`` rows of the block before, so a plain
     ROWS frame is exact.
     """
+    if rows > block_rows:
+        raise ValueError("block_rows must be at least rows")
     pieces = df.repartitionByRange(key, *order).withColumn("_slice", F.spark_partition_id())
     sliced = materialise(pieces)  # fixes the piece of every row
     inner = W.partitionBy(key, "_slice").orderBy(*order)
@@ -286,18 +272,21 @@ def rolling_mean(df: DataFrame, key: str, order: Sequence[str], value: str, rows
 
 
 def fill_both_ways(df: DataFrame, key: str, row: str, value: str, out: str, slice_rows: int = 100_000) -> DataFrame:
-    """Last non-null value up to the row, else the first one after it, per key in ``row`` order."""
+    """Last non-null value up to the row, else the first one after it, per key in ``row`` order; NULL for a NULL key or row."""
+    known = df.filter(F.col(key).isNotNull() & F.col(row).isNotNull())
     forward = sliced_scan(
-        df.select(key, row, F.col(value).alias("_f"), slice_of(row, slice_rows).alias("_slice")),
+        known.select(key, row, F.col(value).alias("_f"), slice_of(row, slice_rows).alias("_slice")),
         [key], "_slice", [row], lasts=["_f"],
     ).drop("_slice")
     back = sliced_scan(
-        df.select(key, (-F.col(row)).alias("_r"), F.col(value).alias("_g"),
+        known.select(key, (-F.col(row)).alias("_r"), F.col(value).alias("_g"),
                   slice_of(-F.col(row), slice_rows).alias("_slice")),
         [key], "_slice", ["_r"], lasts=["_g"],
     ).select(key, (-F.col("_r")).alias(row), "_g")
-    filled = forward.join(back, [key, row]).select(key, row, F.coalesce("_f", "_g").alias(out))
-    return df.join(filled, [key, row])
+    filled = forward.join(back, [key, row]).select(
+        F.col(key).alias("_fk"), F.col(row).alias("_fr"), F.coalesce("_f", "_g").alias(out)
+    )
+    return df.join(filled, (F.col(key) == F.col("_fk")) & (F.col(row) == F.col("_fr")), "left").drop("_fk", "_fr")
 
 
 def dense_codes(values: DataFrame, order: str, slice_expr: Column, out: str) -> DataFrame:
@@ -315,11 +304,10 @@ def dense_codes(values: DataFrame, order: str, slice_expr: Column, out: str) ->
 
 
 def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
-                    steps: int = 4096, small: int = 1_000_000) -> DataFrame:
+                    steps: int = 4096) -> DataFrame:
     """Exact quantiles with linear interpolation: ``groups, prob, quantile``.
 
-    With at most ``small`` distinct values the built-in percentile is used.  Beyond that values
-    are binned by a monotone function; running bin counts locate the one or two ranks of
+    Values are binned by a monotone function; running bin counts locate the one or two ranks of
     each quantile, and only the rows of those bins are looked at again.  Each such bin is cut once
     more into ``steps`` even parts, so tightly packed values do not end up in one task either.
     No group is held in one task, unlike the built-in exact percentile, whose state grows with
@@ -331,10 +319,6 @@ def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, probs: S
     # distinct values first: a value that fills a third of the rows becomes one row
     counted = long.groupBy(*groups, value).agg(F.count("*").alias("_n")).withColumn("_bin", bin_of)
     counted = materialise(counted)  # read three times below
-    if counted.limit(small + 1).count() <= small:
-        wanted_probs = F.array(*[F.lit(float(p)) for p in probs])
-        both = counted.groupBy(*groups).agg(F.percentile(value, wanted_probs, F.col("_n")).alias("_q"))
-        return both.select(*groups, F.explode(F.arrays_zip(wanted_probs.alias("prob"), F.col("_q").alias("quantile"))).alias("_z")).select(*groups, "_z.*")
     upto = W.partitionBy(*groups).orderBy("_bin")
     bins = (
         counted.groupBy(*groups, "_bin")

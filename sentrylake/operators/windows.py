@@ -22,14 +22,27 @@ def syn_flood_hint(sig: str = "signature"):
     return text.contains("syn") & text.contains("flood")
 
 
-def source_counts(flows: DataFrame, alerts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Raw counts per (src_ip, t_us) of an alert: one exchange of pre-aggregated stamps for all frames."""
+STAMPS = "src_ip string, t_us long, _flow boolean, _alert boolean, _syn boolean"
+
+
+def source_stamps(flows: DataFrame, alerts: DataFrame) -> DataFrame:
+    """What the counts depend on: one row per flow and alert."""
     none = F.lit(False)
-    stamps = flows.select(
+    return flows.select(
         "src_ip", "t_us", F.lit(True).alias("_flow"), none.alias("_alert"), none.alias("_syn")
     ).unionByName(
         alerts.select("src_ip", "t_us", none.alias("_flow"), F.lit(True).alias("_alert"), has_syn().alias("_syn"))
     )
+
+
+def source_counts(flows: DataFrame, alerts: DataFrame, params: Params = DEFAULTS, earlier: DataFrame | None = None) -> DataFrame:
+    """Raw counts per (src_ip, t_us) of an alert: one exchange of pre-aggregated stamps for all frames.
+
+    ``earlier`` holds stamps of rows before those given (columns of ``STAMPS``).
+    """
+    stamps = source_stamps(flows, alerts)
+    if earlier is not None:
+        stamps = stamps.unionByName(earlier)
     return window_counts(
         stamps, "src_ip", "t_us",
         counters={"flow": F.col("_flow"), "alert": F.col("_alert"), "syn": F.col("_syn")},
@@ -45,26 +58,24 @@ def source_counts(flows: DataFrame, alerts: DataFrame, params: Params = DEFAULTS
     )
 
 
-def with_source_rates(alerts: DataFrame, flows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def with_source_rates(alerts: DataFrame, flows: DataFrame, params: Params = DEFAULTS, earlier: DataFrame | None = None) -> DataFrame:
     """Adds the rate columns to each alert.  ``alerts`` are the admitted ones, ``flows`` all flows."""
-    counts = source_counts(flows, alerts, params)
+    counts = source_counts(flows, alerts, params, earlier)
     return rates_from_counts(alerts.join(counts, ["src_ip", "t_us"], "left"), alerts.columns, params)
 
 
 def rates_from_counts(joined: DataFrame, alert_columns, params: Params = DEFAULTS) -> DataFrame:
-    """Rate columns from the raw counts, with the bounded memory of the live path applied."""
+    """Rate columns from the raw counts; every event of a window counts."""
 
-    def capped(name: str, cap: int):
-        return F.least(F.coalesce(F.col(name), F.lit(0).cast("bigint")), F.lit(cap).cast("bigint"))
+    def counted(name: str):
+        return F.coalesce(F.col(name), F.lit(0).cast("bigint"))
 
-    kept = params.stamps_kept
-    n_alerts = capped("n_alerts", kept)
-    hits_30s, hits_2s = capped("n_hits", params.hits_kept), capped("n_syn_hits", params.hits_kept)
+    n_alerts, hits_30s, hits_2s = counted("n_alerts"), counted("n_hits"), counted("n_syn_hits")
     return joined.select(
         *alert_columns,
-        (capped("n_flows", kept) / F.lit(params.flow_window_us / 1e6)).alias("flows_per_sec"),
+        (counted("n_flows") / F.lit(params.flow_window_us / 1e6)).alias("flows_per_sec"),
         n_alerts.alias("alerts_count_5s"),
-        (capped("n_syn", kept) / F.greatest(n_alerts, F.lit(1).cast("bigint"))).alias("syn_only_ratio"),
+        (counted("n_syn") / F.greatest(n_alerts, F.lit(1).cast("bigint"))).alias("syn_only_ratio"),
         hits_30s.alias("hits_30s"),
         hits_2s.alias("hits_2s"),
         (hits_30s >= params.min_hits).alias("multi_hit"),

@@ -244,7 +244,7 @@ def is_allowlisted(spark, sf):
 
 @query("first_n_alerts", "SELECT event_id, t_us FROM alerts ORDER BY t_us, event_id LIMIT 2000")
 def first_n_alerts(spark, sf):
-    return B.first_n_alerts(fixture.alerts(spark, sf)).select("event_id", "t_us")
+    return B.first_n_alerts(fixture.alerts(spark, sf), 2000).select("event_id", "t_us")
 
 
 @query("normalise_columns", f"""SELECT event_id, dest_port AS dst_port, src_port, signature, proto AS protocol,
@@ -794,12 +794,12 @@ def dedup_notifications(spark, sf):
 @query("dedup_notifications_stream", "SELECT src_ip, signature, t_us FROM sent")
 def dedup_notifications_stream(spark, sf):
     work = fixture.scratch(spark)
-    events = follow.follow_events(spark, fixture.write_chunks(spark, sf, f"{work}/in"))
-    admitted = B.admit_alerts(B.of_type(events, "alert"), FIXTURE_PARAMS)
-    sent = dedup.dedup_stream(admitted, FIXTURE_PARAMS.notify_gap_us)
-    follow.drain(sent.writeStream.format("parquet").outputMode("append").option("path", f"{work}/out")
-                 .option("checkpointLocation", f"{work}/state"))
-    return spark.read.schema(sent.schema).parquet(f"{work}/out")
+    stream = dedup.DedupStream(spark, f"{work}/in", f"{work}/state", FIXTURE_PARAMS)
+    for i in range(3):
+        fixture.write_chunk(spark, sf, f"{work}/in", i, 3)
+        stream.advance()
+    stream.finish()
+    return stream.result()
 
 
 def _blocks(spark, sf, length=None):
@@ -868,9 +868,11 @@ def windowed_source_rates(spark, sf):
 @query("stream_detect", _DETECT_SQL)
 def stream_detect(spark, sf):
     work = fixture.scratch(spark)
-    landing = fixture.write_chunks(spark, sf, f"{work}/in", 2)
-    stream = SD.DetectStream(spark, landing, work, fixture.model, FIXTURE_PARAMS)
-    stream.advance()
+    stream = SD.DetectStream(spark, f"{work}/in", f"{work}/state", fixture.model, FIXTURE_PARAMS)
+    for i in range(3):
+        fixture.write_chunk(spark, sf, f"{work}/in", i, 3)
+        stream.advance()
+    stream.finish()
     return _detect_out(stream.result())
 
 
@@ -965,7 +967,7 @@ def _attacks(spark, sf) -> DataFrame:
 
 @query("train_attack_classifier")
 def train_attack_classifier(spark, sf):
-    _, report = M.train_attack_classifier(_attacks(spark, sf), f"{fixture.scratch(spark)}/classifier", trees=300, depth=10)
+    _, report = M.train_attack_classifier(_attacks(spark, sf), f"{fixture.scratch(spark)}/classifier")
     return report
 
 
@@ -980,7 +982,7 @@ def score_attack_type(spark, sf):
     from pyspark.ml import PipelineModel
     rows = _attacks(spark, sf)
     path = f"{fixture.scratch(spark)}/classifier"
-    M.fit_attack_classifier(rows, trees=20, depth=8).write().overwrite().save(path)
+    M.fit_attack_classifier(rows).write().overwrite().save(path)
     return M.score_attack_type(rows, PipelineModel.load(path)).select("event_id", "attack_type", "predicted_type")
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import admit_alerts, split_events
-from ..operators.joins import asof_flow_features, drop_whitelisted
+from ..operators.joins import FLOW_CARRY, asof_flow_features, drop_whitelisted
 from ..operators.policy import (
     block_intervals,
     decide,
@@ -32,15 +33,33 @@ OUTPUT = (
 )
 
 
-def decisions(events: DataFrame, model: Model, params: Params = DEFAULTS) -> DataFrame:
+OPENED = "event_id long, src_ip string, t_us long, should_block boolean, reason string, confidence double"
+
+
+@dataclass(frozen=True)
+class History:
+    """What earlier rows (up to ``since``) leave for later ones: latest flows, stamps of the windows,
+    last announcements, and the requests that opened a block."""
+
+    since: int
+    flows: DataFrame
+    stamps: DataFrame
+    sent: DataFrame
+    opened: DataFrame
+
+
+def decisions(events: DataFrame, model: Model, params: Params = DEFAULTS, past: History | None = None) -> DataFrame:
     """One row per admitted alert with everything but the block and notification state.
 
     ``model`` adds ``action`` and ``confidence`` to enriched alerts.
     """
     flows, alerts = split_events(events)
     admitted = admit_alerts(alerts, params)
-    enriched = asof_flow_features(admitted, flows, params)
-    rated = with_source_rates(enriched, flows, params)
+    known = flows
+    if past is not None:
+        known = flows.select(*[f.split()[0] for f in FLOW_CARRY.split(", ")]).unionByName(past.flows)
+    enriched = asof_flow_features(admitted, known, params)
+    rated = with_source_rates(enriched, flows, params, None if past is None else past.stamps)
     labelled = with_binary_label(model(with_labels(rated, params)), params)
     return decide(labelled, params)
 
@@ -51,13 +70,34 @@ def detect(events: DataFrame, model: Model, params: Params = DEFAULTS) -> DataFr
     The decisions are written once to the checkpoint folder; blocks and notifications read them
     from there instead of repeating the enrichment.
     """
-    decided = materialise(decisions(events, model, params).select(*OUTPUT))
-    blocks = block_intervals(drop_whitelisted(decided, params), params=params)
+    return detect_with(events, model, params)[0]
+
+
+def detect_with(
+    events: DataFrame, model: Model, params: Params = DEFAULTS, past: History | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions with flags, requests that opened a block, stamps announced); with the past taken into account.
+
+    An opened block or an announcement of the past is the first link of its key's chain, and is
+    left out of what comes back.
+    """
+    decided = materialise(decisions(events, model, params, past).select(*OUTPUT))
+    names = [f.split()[0] for f in OPENED.split(", ")]
+    requests = drop_whitelisted(decided, params).select(*names)
+    stamps = decided.select("src_ip", "signature", "t_us")
+    if past is not None:
+        requests, stamps = requests.unionByName(past.opened), stamps.unionByName(past.sent)
+    blocks = block_intervals(requests, params=params)
+    sent = dedup_notifications(stamps, params=params)
+    if past is not None:
+        blocks, sent = blocks.filter(F.col("block_us") > past.since), sent.filter(F.col("t_us") > past.since)
+    blocks, sent = materialise(blocks), materialise(sent)
     opened = blocks.select("event_id", F.lit(True).alias("blocked"))
-    sent = dedup_notifications(decided, params=params)
-    first = decided.groupBy("src_ip", "signature", "t_us").agg(F.min("event_id").alias("event_id"))
+    # a missing source or signature counts as an empty one, as in the suppression itself
+    keys = [F.coalesce(c, F.lit("")).alias(c) for c in ("src_ip", "signature")]
+    first = decided.groupBy(*keys, "t_us").agg(F.min("event_id").alias("event_id"))
     announced = first.join(sent, ["src_ip", "signature", "t_us"]).select("event_id", F.lit(True).alias("notified"))
-    return (
+    found = (
         decided.join(opened, "event_id", "left")
         .join(announced, "event_id", "left")
         .withColumns({
@@ -65,3 +105,7 @@ def detect(events: DataFrame, model: Model, params: Params = DEFAULTS) -> DataFr
             "notified": F.coalesce("notified", F.lit(False)),
         })
     )
+    requested = blocks.select(
+        "event_id", F.col("ip").alias("src_ip"), F.col("block_us").alias("t_us"), F.lit(True).alias("should_block"), "reason", "confidence"
+    )
+    return found, requested, sent

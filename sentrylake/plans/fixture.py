@@ -154,16 +154,21 @@ def write_json_lines(spark: SparkSession, sf_dir: str, path: str, noise: bool =
     return path
 
 
-def write_chunks(spark: SparkSession, sf_dir: str, path: str, chunks: int = 3) -> str:
-    """All events as JSON chunks, each later in time than the ones before it."""
+def write_chunk(spark: SparkSession, sf_dir: str, path: str, number: int, chunks: int = 3) -> str:
+    """One of several JSON chunks, each later in time than the ones before it, but for late rows.
+
+    A tenth of the rows of the last four seconds of a chunk comes with the next one, which is
+    within the delay that streams allow.
+    """
     flat = events(spark, sf_dir)
-    span = 520_000_000 // chunks + 1
-    start = 1704067200000000
+    span, start, late = 520_000_000 // chunks + 1, 1704067200000000, 4_000_000
+    place = F.least(F.greatest(F.call_function("div", F.col("t_us") - start, F.lit(span).cast("bigint")), F.lit(0)), F.lit(chunks - 1))
+    held = (F.col("t_us") - start - place * span >= span - late) & (F.col("event_id") % 10 == 3) & (place < chunks - 1)
+    as_nested(flat.filter(place + held.cast("int") == number)).write.mode("append").json(path)
+    return path
+
+
+def write_chunks(spark: SparkSession, sf_dir: str, path: str, chunks: int = 3) -> str:
     for i in range(chunks):
-        part = flat
-        if i > 0:
-            part = part.filter(F.col("t_us") >= start + i * span)
-        if i < chunks - 1:
-            part = part.filter(F.col("t_us") < start + (i + 1) * span)
-        as_nested(part).write.mode("append").json(path)
+        write_chunk(spark, sf_dir, path, i, chunks)
     return path

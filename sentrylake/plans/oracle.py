@@ -144,11 +144,11 @@ def chain(stamps: str, keys: list[str], gap: int) -> str:
     )
 
 
-_COUNT = "CAST(least(count(*) FILTER (WHERE {cond}) OVER (PARTITION BY src_ip ORDER BY t_us RANGE BETWEEN {w} PRECEDING AND CURRENT ROW), {cap}) AS BIGINT)"
+_COUNT = "count(*) FILTER (WHERE {cond}) OVER (PARTITION BY src_ip ORDER BY t_us RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)"
 
 
-def _count(cond: str, w: int, cap: int) -> str:
-    return _COUNT.format(cond=cond, w=w, cap=cap)
+def _count(cond: str, w: int) -> str:
+    return _COUNT.format(cond=cond, w=w)
 
 
 _REASON = """CASE WHEN NOT should_block THEN ''
@@ -185,11 +185,11 @@ CTES: dict[str, str] = {
     "stamps": "SELECT event_id, src_ip, t_us, TRUE AS is_flow, FALSE AS is_syn FROM flows UNION ALL "
               "SELECT event_id, src_ip, t_us, FALSE, contains(lower(signature), 'syn') FROM admitted",
     "rates": "SELECT * FROM (SELECT event_id, src_ip, t_us, is_flow, "
-             + _count("is_flow", 10_000_000, 200) + " AS n_flows, "
-             + _count("NOT is_flow", 5_000_000, 200) + " AS n_alerts, "
-             + _count("is_syn", 5_000_000, 200) + " AS n_syn, "
-             + _count("NOT is_flow", 30_000_000, 40) + " AS n_hits, "
-             + _count("NOT is_flow", 2_000_000, 40) + " AS n_syn_hits FROM stamps) w WHERE NOT is_flow",
+             + _count("is_flow", 10_000_000) + " AS n_flows, "
+             + _count("NOT is_flow", 5_000_000) + " AS n_alerts, "
+             + _count("is_syn", 5_000_000) + " AS n_syn, "
+             + _count("NOT is_flow", 30_000_000) + " AS n_hits, "
+             + _count("NOT is_flow", 2_000_000) + " AS n_syn_hits FROM stamps) w WHERE NOT is_flow",
     "rated": _RATED_FROM.format(rel="enriched"),
     "rated_alerts": _RATED_FROM.format(rel="admitted"),
     "cands": "SELECT *, "

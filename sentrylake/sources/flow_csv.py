@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,32 +12,51 @@ DELIMITERS = (",", ";", "\t", "|")
 _SPARE = "_beyond_header"
 
 
-def sniff_delimiter(lines: list[str]) -> str:
-    """Delimiter that splits most of the lines into as many fields as it splits the header."""
-    def score(d: str) -> tuple[int, int]:
-        widths = [len(next(csv.reader([ln], delimiter=d, quotechar='"', escapechar="\\"), [])) for ln in lines]
-        if not widths or widths[0] < 2:
-            return (0, 0)
-        return (sum(w == widths[0] for w in widths), widths[0])
+def _fields(line: Column, delimiter: str) -> Column:
+    """Delimiters outside quotes."""
+    bare = F.regexp_replace(line, r'"(\\.|[^"\\])*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
 
-    return max(DELIMITERS, key=score)
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """file, header: the first line of each file that is not empty."""
+    return lines.groupBy("file").agg(F.min_by("value", F.struct("at", "n")).alias("header"))
+
+
+def find_delimiter(lines: DataFrame, headers: DataFrame) -> str:
+    """Delimiter by which most of all lines have as many fields as the header of their file (counted in parallel)."""
+    both = lines.join(headers.withColumnRenamed("file", "_f"), F.col("file") == F.col("_f"))
+    counts = both.agg(*[
+        F.struct(
+            F.count_if((_fields(F.col("header"), d) > 0) & (_fields(F.col("value"), d) == _fields(F.col("header"), d))).alias("n"),
+            F.max(_fields(F.col("header"), d)).alias("width"),
+        ).alias(f"c{i}") for i, d in enumerate(DELIMITERS)
+    ]).first()
+    return max(enumerate(DELIMITERS), key=lambda e: (counts[e[0]]["n"], counts[e[0]]["width"]))[1]
 
 
 def read_flow_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """All columns as text; lines with too many fields are skipped, short ones are padded.
 
-    Empty and missing fields are '' and texts like 'NA' are kept.  Only the first lines are looked at on
-    the driver, for the delimiter and the header.
+    Empty and missing fields are '' and texts like 'NA' are kept.  Every file is read by its own
+    header and aligned by column name; a column that a file lacks is ''.
     """
-    head = [r[0] for r in spark.read.text(path).limit(20).collect()]
-    if not head:
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("n"),
+    ).filter("trim(value) <> ''")
+    headers = _headers(lines)
+    delimiter = delimiter or find_delimiter(lines, headers)
+    kinds = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()  # names of files
+    if not kinds:
         raise ValueError(f"no rows in {path}")
-    delimiter = delimiter or sniff_delimiter(head)
-    header = next(csv.reader([head[0]], delimiter=delimiter, quotechar='"', escapechar="\\"))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _SPARE]])
-    table = spark.read.csv(
-        path, schema=schema, sep=delimiter, header=True, quote='"', escape="\\",
-        mode="PERMISSIVE", emptyValue="", enforceSchema=True,
-    )
-    fits = table.filter(F.col(_SPARE).isNull())
-    return fits.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header])
+    out = None
+    for kind in sorted(kinds, key=lambda r: r.files[0]):
+        header = next(csv.reader([kind.header], delimiter=delimiter, quotechar='"', escapechar="\\"))
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _SPARE]])
+        table = spark.read.csv(
+            kind.files, schema=schema, sep=delimiter, header=True, quote='"', escape="\\",
+            mode="PERMISSIVE", emptyValue="", enforceSchema=True,
+        ).filter(F.col(_SPARE).isNull()).drop(_SPARE)
+        out = table if out is None else out.unionByName(table, allowMissingColumns=True)
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns])

@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def dedup_stream(alerts: DataFrame, gap_us: int = 10_000_000, delay: str = "10 seconds") -> DataFrame:
-    """Stamps announced per (src_ip, signature): the state is the last announced stamp."""
-
-    def announce(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        sent = []
-        for t in sorted(set().union(*(set(p["t_us"].tolist()) for p in pdfs))):
-            if last is None or t - last >= gap_us:
-                last = t
-                sent.append(t)
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + gap_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if sent:
-            yield pd.DataFrame({"src_ip": key[0], "signature": key[1], "t_us": sent})
-
-    keyed = alerts.select(
-        F.timestamp_micros("t_us").alias("ts"),
-        F.coalesce("src_ip", F.lit("")).alias("src_ip"),
-        F.coalesce("signature", F.lit("")).alias("signature"),
-        "t_us",
-    ).withWatermark("ts", delay)
-    return keyed.groupBy("src_ip", "signature").applyInPandasWithState(
-        announce, "src_ip string, signature string, t_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+from ..operators.filters import admit_alerts, of_type
+from ..operators.policy import dedup_notifications
+from ..operators.scan import materialise
+from ..params import DEFAULTS, Params
+from .carry import CarryStream
+
+
+def last_sent(sent: DataFrame, before: DataFrame, upto: int, gap_us: int) -> DataFrame:
+    """The latest stamp announced per (src_ip, signature), as long as it can still suppress others."""
+    both = sent.select("src_ip", "signature", "t_us").unionByName(before)
+    return both.groupBy("src_ip", "signature").agg(F.max("t_us").alias("t_us")).filter(F.col("t_us") > upto - gap_us)
+
+
+class DedupStream(CarryStream):
+    """Stamps announced per (src_ip, signature) of the admitted alerts."""
+
+    held = {"sent": "src_ip string, signature string, t_us long"}
+
+    def __init__(self, spark: SparkSession, landing: str, work: str, params: Params = DEFAULTS, **options):
+        super().__init__(spark, landing, work, **options)
+        self.params = params
+
+    def process(self, final, since, upto, held):
+        admitted = admit_alerts(of_type(final, "alert"), self.params)
+        stamps = admitted.select("src_ip", "signature", "t_us").unionByName(held["sent"])
+        sent = materialise(dedup_notifications(stamps, params=self.params).filter(F.col("t_us") > since))
+        return sent, {"sent": last_sent(sent, held["sent"], upto, self.params.notify_gap_us)}

@@ -1,259 +1,57 @@
-"""The detection pipeline on streams, as two queries with one keyed state each.
-
-Query 1 keeps the latest flow of every look-up key and enriches alerts; query 2 keeps, per
-source, the recent stamps, the last notifications and the open block.  State is bounded: one
-flow per key, at most 200 stamps of a kind per source, and both expire with event time.
-
-Rows of one micro-batch are put in event-time order; across micro-batches the source must
-deliver in order (later rows up to the watermark delay are used as they come).
-"""
+"""The detection pipeline on streams: the batch plan over final rows, with the past in four carry tables."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.filters import admission
-from ..operators.joins import RAW_FLOW, features_from_hit, flow_keys
-from ..operators.policy import decide, decision_conditions, with_binary_label, with_labels
-from ..operators.windows import has_syn, rates_from_counts, syn_flood_hint
+from ..operators.filters import admit_alerts, split_events
+from ..operators.joins import FLOW_CARRY, flow_keys
+from ..operators.scan import materialise
+from ..operators.windows import STAMPS, source_stamps
 from ..params import DEFAULTS, Params
-from ..plans.detect import OUTPUT, Model
-from .follow import drain, follow_events
-
-_ENRICHED = "side int, event_id long, t_us long, prio int, payload string, entry string"
-_DECIDED = (
-    "event_id long, n_flows long, n_alerts long, n_syn long, n_hits long, n_syn_hits long, "
-    "blocked boolean, notified boolean, payload string"
-)
-
-
-def _enricher(ttl_us: int):
-    """State function of query 1; holds plain values only, so that workers need no import of this package."""
-
-    def enrich(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "side", "event_id"], kind="stable")
-        held_t, held = state.get if state.exists else (None, None)
-        t = rows["t_us"].to_numpy()
-        is_flow = (rows["side"] == 0).to_numpy()
-        # position of the latest flow at or before each row; -1 stands for the stored one
-        at = np.maximum.accumulate(np.where(is_flow, np.arange(len(rows)), -1))
-        payload = rows["payload"].to_numpy()
-        if is_flow.any():
-            i = int(at[-1])
-            newest = (int(t[i]), payload[i])
-        else:
-            newest = (held_t, held)
-
-        def entry(row: int):
-            i = at[row]
-            seen, flow = (int(t[i]), payload[i]) if i >= 0 else (held_t, held)
-            return flow if seen is not None and t[row] - seen <= ttl_us else None
-
-        out = rows[~is_flow].copy()
-        out["entry"] = [entry(i) for i in np.flatnonzero(~is_flow)]
-        passed = rows[is_flow & (rows["prio"] == 2).to_numpy()].copy()
-        passed["entry"] = None
-        if newest[0] is not None:
-            state.update(newest)
-            state.setTimeoutTimestamp(max((newest[0] + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.concat([out, passed])[["side", "event_id", "t_us", "prio", "payload", "entry"]]
-
-    return enrich
-
-
-def enrich_stream(events: DataFrame, params: Params = DEFAULTS, delay: str = "10 seconds") -> DataFrame:
-    """Query 1: one row per flow, and one per alert and look-up key with the flow found (or NULL)."""
-    alert = (F.col("event_type") == "alert") & admission(events.columns, params)
-    routed = events.filter((F.col("event_type") == "flow") | alert)
-    keyed = routed.withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", delay).select(
-        "ts", "event_id", "t_us",
-        (F.col("event_type") == "alert").cast("int").alias("side"),
-        F.to_json(F.struct(*[c for c in events.columns if c != "ts_local"])).alias("payload"),
-        F.explode(flow_keys()).alias("_k"),
-    ).select("ts", "event_id", "t_us", "side", "payload", "_k.prio", "_k.key")
-    return keyed.groupBy("key").applyInPandasWithState(
-        _enricher(params.flow_ttl_us), _ENRICHED, "t_us long, flow string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def enrichment_sink(path: str, event_schema: T.StructType, model: Model, params: Params = DEFAULTS):
-    """``foreachBatch`` of query 1: merges the keys of each alert, labels it, replaces the batch directory."""
-    schema = T.StructType([f for f in event_schema.fields if f.name != "ts_local"])
-    columns = schema.fieldNames()
-    found = T.StructType([f for f in schema.fields if f.name in (*RAW_FLOW, "t_us")])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            _write(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def _write(batch: DataFrame, batch_id: int) -> None:
-        best = batch.filter("side = 1").groupBy("event_id").agg(
-            F.first("payload").alias("payload"),
-            F.min_by(F.struct("prio", "entry"), F.when(F.col("entry").isNotNull(), F.col("prio"))).alias("_b"),
-        )
-        flow = F.from_json("_b.entry", found)
-        hit = F.when(
-            F.col("_b.entry").isNotNull(),
-            F.struct(F.col("_b.prio").alias("prio"), *[flow[c].alias(c) for c in ("t_us", *RAW_FLOW)]),
-        )
-        alerts = best.select(F.from_json("payload", schema).alias("_e"), hit.alias("_hit")).select("_e.*", "_hit")
-        labelled = with_binary_label(model(with_labels(features_from_hit(alerts, columns), params)), params)
-        ready, strong, allowed = decision_conditions(params)
-        prepared = labelled.select(
-            F.lit(1).alias("side"), "event_id", "t_us", "src_ip", "signature",
-            has_syn().alias("syn"), syn_flood_hint().alias("flood"),
-            F.coalesce(ready, F.lit(False)).alias("ready"), F.coalesce(strong, F.lit(False)).alias("strong"),
-            allowed.alias("allowed"), F.to_json(F.struct(*labelled.columns)).alias("payload"),
-        )
-        src = F.get_json_object("payload", "$.src_ip")
-        flows = batch.filter("side = 0").select("side", "event_id", "t_us", src.alias("src_ip"))
-        out = prepared.unionByName(flows, allowMissingColumns=True)
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
-
-    return write
-
-
-ENRICHED_SCHEMA = (
-    "side int, event_id long, t_us long, src_ip string, signature string, syn boolean, flood boolean, "
-    "ready boolean, strong boolean, allowed boolean, payload string"
-)
-
-
-def _decider(params: Params, whitelist: frozenset[str]):
-    """State function of query 2; holds plain values only, like the one of query 1."""
-    kept, min_hits, gap_us, block_us = params.stamps_kept, params.min_hits, params.notify_gap_us, params.block_us
-    flow_us, alert_us = params.flow_window_us, params.alert_window_us
-    hit_us, syn_hit_us = params.hit_window_us, params.syn_hit_window_us
-    longest = max(flow_us, alert_us, hit_us, syn_hit_us)
-
-    def decide_source(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "side", "event_id"], kind="stable")
-        memory = json.loads(state.get[0]) if state.exists else {
-            "flows": [], "alerts": [], "syn": [], "sent": {}, "until": None
+from ..plans.detect import OPENED, History, Model, detect_with
+from .carry import CarryStream
+from .dedup import last_sent
+
+
+def latest_flows(flows: DataFrame, oldest_us: int) -> DataFrame:
+    """Flows that are the latest of one of their look-up keys and not older than ``oldest_us``."""
+    recent = flows.filter(F.col("t_us") >= oldest_us)
+    keyed = recent.select("t_us", "event_id", F.explode(flow_keys()).alias("_k")).select("t_us", "event_id", "_k.key")
+    newest = keyed.groupBy("key").agg(F.max("t_us").alias("_t")).withColumnRenamed("key", "_key")
+    at_newest = keyed.join(newest, (F.col("key") == F.col("_key")) & (F.col("t_us") == F.col("_t")))
+    ids = at_newest.groupBy("key").agg(F.max("event_id").alias("_id")).select("_id").distinct()
+    return recent.join(ids, F.col("event_id") == F.col("_id"), "left_semi")
+
+
+class DetectStream(CarryStream):
+    """Decisions with block and notification flags; ``advance`` handles whatever has arrived."""
+
+    held = {
+        "flows": FLOW_CARRY,
+        "stamps": STAMPS,
+        "sent": "src_ip string, signature string, t_us long",
+        "opened": OPENED,
+    }
+
+    def __init__(self, spark: SparkSession, landing: str, work: str, model: Model, params: Params = DEFAULTS, **options):
+        super().__init__(spark, landing, work, **options)
+        self.model, self.params = model, params
+
+    def process(self, final, since, upto, held):
+        p = self.params
+        past = History(since, held["flows"], held["stamps"], held["sent"], held["opened"])
+        found, opened, sent = detect_with(final, self.model, p, past)
+        flows, alerts = split_events(final)
+        names = [f.split()[0] for f in FLOW_CARRY.split(", ")]
+        all_flows = materialise(flows.select(*names).unionByName(held["flows"]))
+        stamps = source_stamps(flows, admit_alerts(alerts, p)).unionByName(held["stamps"])
+        longest = max(p.flow_window_us, p.alert_window_us, p.hit_window_us, p.syn_hit_window_us)
+        blocks = opened.unionByName(held["opened"]).filter(F.col("t_us") > upto - p.block_us)
+        return found, {
+            "flows": latest_flows(all_flows, upto - p.flow_ttl_us),
+            "stamps": stamps.filter(F.col("t_us") >= upto - longest),
+            "sent": last_sent(sent, held["sent"], upto, p.notify_gap_us),
+            "opened": blocks,
         }
-        alert = rows["side"].to_numpy() == 1
-        t_all = rows["t_us"].to_numpy()
-        seen = rows[alert]
-        t = t_all[alert]
-        syn = seen["syn"].to_numpy(dtype=bool)
-        stamps = {
-            "flows": np.concatenate([np.array(memory["flows"], dtype=np.int64), t_all[~alert]]),
-            "alerts": np.concatenate([np.array(memory["alerts"], dtype=np.int64), t]),
-            "syn": np.concatenate([np.array(memory["syn"], dtype=np.int64), t[syn]]),
-        }
-
-        def count(kind: str, width: int) -> np.ndarray:
-            s = stamps[kind]
-            return np.searchsorted(s, t, "right") - np.searchsorted(s, t - width, "left")
-
-        out = pd.DataFrame({
-            "event_id": seen["event_id"].to_numpy(),
-            "n_flows": count("flows", flow_us),
-            "n_alerts": count("alerts", alert_us),
-            "n_syn": count("syn", alert_us),
-            "n_hits": count("alerts", hit_us),
-            "n_syn_hits": count("alerts", syn_hit_us),
-        })
-        multi = out["n_hits"].to_numpy() >= min_hits
-        trigger = seen["flood"].to_numpy(dtype=bool) & (
-            (out["n_syn_hits"].to_numpy() >= min_hits) | (out["n_alerts"].to_numpy() >= min_hits)
-        )
-        block = seen["ready"].to_numpy(dtype=bool) & (
-            seen["strong"].to_numpy(dtype=bool) | (~seen["allowed"].to_numpy(dtype=bool) & (multi | trigger))
-        )
-        if key[0] in whitelist:
-            block[:] = False
-        blocked, notified, sent = [], [], memory["sent"]
-        for at, sig, wants in zip(t.tolist(), seen["signature"].tolist(), block.tolist()):
-            opens = wants and (memory["until"] is None or at >= memory["until"])
-            if opens:
-                memory["until"] = at + block_us
-            blocked.append(opens)
-            tells = sig not in sent or at - sent[sig] >= gap_us
-            if tells:
-                sent[sig] = at
-            notified.append(tells)
-        out["blocked"], out["notified"] = blocked, notified
-        out["payload"] = seen["payload"].to_numpy()
-
-        last = int(t_all.max())
-        recent = {k: s[s >= last - longest][-kept:].tolist() for k, s in stamps.items()}
-        recent["sent"] = {s: x for s, x in sent.items() if last - x < gap_us}
-        recent["until"] = memory["until"]
-        state.update((json.dumps(recent),))
-        idle = max(last + max(longest, gap_us), memory["until"] or 0)
-        state.setTimeoutTimestamp(max(idle // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield out
-
-    return decide_source
-
-
-def decide_stream(enriched: DataFrame, params: Params = DEFAULTS, delay: str = "10 seconds") -> DataFrame:
-    """Query 2: counts, block and notification flags per alert, from the output of query 1."""
-    timed = enriched.withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", delay)
-    whitelist = frozenset((*params.whitelist, params.local_ip))
-    return timed.groupBy("src_ip").applyInPandasWithState(
-        _decider(params, whitelist), _DECIDED, "memory string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def finish(decided: DataFrame, labelled_schema: T.StructType, params: Params = DEFAULTS) -> DataFrame:
-    """Full decision rows from the compact output of query 2 (stateless)."""
-    rows = decided.withColumn("_e", F.from_json("payload", labelled_schema)).drop("payload", "event_id").select("_e.*", "*")
-    rated = rates_from_counts(rows.drop("_e"), [*labelled_schema.fieldNames(), "blocked", "notified"], params)
-    return decide(rated, params).select(*OUTPUT, "blocked", "notified")
-
-
-class DetectStream:
-    """Both queries over a landing directory; ``advance`` handles whatever has arrived."""
-
-    def __init__(self, spark: SparkSession, landing: str, work: str, model: Model, params: Params = DEFAULTS,
-                 delay: str = "10 seconds", files_per_trigger: int | None = None):
-        self.spark, self.landing, self.work, self.model = spark, landing, work, model
-        self.params, self.delay, self.files_per_trigger = params, delay, files_per_trigger
-        spark_events = follow_events(spark, landing, files_per_trigger)
-        self._events = spark_events
-        sample = model(with_labels(
-            features_from_hit(self._no_hits(spark_events.schema), [c for c in spark_events.columns if c != "ts_local"]),
-            params,
-        ))
-        self._labelled = with_binary_label(sample, params).schema
-
-    def _no_hits(self, schema: T.StructType) -> DataFrame:
-        fields = [f for f in schema.fields if f.name != "ts_local"]
-        hit = T.StructType([T.StructField("prio", T.IntegerType()), T.StructField("t_us", T.LongType()),
-                            *[T.StructField(c, T.LongType()) for c in RAW_FLOW]])
-        return self.spark.createDataFrame([], T.StructType([*fields, T.StructField("_hit", hit)]))
-
-    def advance(self) -> None:
-        first = enrich_stream(self._events, self.params, self.delay).writeStream.outputMode("append").foreachBatch(
-            enrichment_sink(f"{self.work}/enriched", self._events.schema, self.model, self.params)
-        ).option("checkpointLocation", f"{self.work}/state1")
-        drain(first)
-        enriched = self.spark.readStream.schema(ENRICHED_SCHEMA).parquet(f"{self.work}/enriched/*")
-        second = decide_stream(enriched, self.params, self.delay)
-        done = finish(second, self._labelled, self.params)
-        drain(
-            done.writeStream.format("parquet").outputMode("append")
-            .option("path", f"{self.work}/decisions").option("checkpointLocation", f"{self.work}/state2")
-        )
-
-    def result(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.work}/decisions")

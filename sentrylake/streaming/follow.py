@@ -26,17 +26,13 @@ def follow_events(spark: SparkSession, path: str, files_per_trigger: int | None
     return normalise_event(read_eve_stream(spark, path, files_per_trigger))
 
 
-def drain(writer, timeout_s: int = 600) -> StreamingQuery:
-    """Processes everything that is available now, then stops."""
+def drain(writer, timeout_s: int | None = None) -> StreamingQuery:
+    """Processes everything that is available now, then stops; without ``timeout_s`` however long that takes."""
     query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout_s):
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"stream did not finish in {timeout_s} s")
     return query
 
-
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark had passed them."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"]
-    )

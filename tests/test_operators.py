@@ -186,11 +186,10 @@ def test_reason_text(spark):
     }
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_block_intervals(spark, limit):
+def test_block_intervals(spark):
     rows = [decision(i, src=s, t=t) for i, (s, t) in enumerate([("a", 0), ("a", 9), ("a", 10), ("a", 19), ("a", 20), ("b", 5), ("b", 5)])]
     decided = policy.decide(spark.createDataFrame(rows, DECISION), P)
-    blocks = policy.block_intervals(decided, 10, P, fold_limit=limit)
+    blocks = policy.block_intervals(decided, 10, P)
     got = sorted((r.ip, r.block_us, r.unblock_us, r.event_id) for r in blocks.collect())
     assert got == [("a", 0, 10, 0), ("a", 10, 20, 2), ("a", 20, 30, 4), ("b", 5, 15, 5)]
     at = lambda t: sorted(r.ip for r in policy.active_blocks(blocks, t).collect())
@@ -230,7 +229,7 @@ def test_constant_features(spark):
 @pytest.mark.parametrize("counts,stratified", [({"a": 10, "b": 90}, True), ({"a": 1, "b": 99}, False), ({"a": 50}, False)])
 def test_stratified_split(spark, counts, stratified):
     rows = [(i, c) for i, c in enumerate(c for c, n in counts.items() for _ in range(n))]
-    marked = prep.stratified_split(spark.createDataFrame(rows, "event_id long, y string"), "y").collect()
+    marked = prep.stratified_split(spark.createDataFrame(rows, "event_id long, y string"), "y", per_class=stratified).collect()
     test = [r.y for r in marked if r.is_test]
     assert len(marked) == len(rows) and len(test) == len(rows) // 5
     if stratified:
@@ -238,8 +237,8 @@ def test_stratified_split(spark, counts, stratified):
     assert E.can_stratify(E.class_counts(spark.createDataFrame(rows, "i long, y string"), "y")).first()[0] is stratified
 
 
-def test_small_split_takes_more(spark):
-    marked = prep.stratified_split(spark.createDataFrame([(i, "a") for i in range(4)], "event_id long, y string"), "y")
+def test_share_does_not_depend_on_the_size(spark):
+    marked = prep.stratified_split(spark.createDataFrame([(i, "a") for i in range(4)], "event_id long, y string"), "y", 0.5)
     assert marked.filter("is_test").count() == 2
 
 

@@ -58,6 +58,14 @@ def test_untidy_csv(spark, tmp_path, d):
     assert rows == [("1", f"x{d}y", "NA"), ("2", "", ""), ("3", "short", ""), ("5", 'q"uote', "z")]
 
 
+def test_csv_files_with_different_column_orders(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("a;b;c\n1;2;x,y,z\n" * 1 + "3;4;q,r,s\n" * 30)
+    (tmp_path / "t" / "b.csv").write_text("\nb;a\n8;7\n")
+    got = {tuple(r) for r in flow_csv.read_flow_csv(spark, str(tmp_path / "t")).select("a", "b", "c").collect()}
+    assert got == {("1", "2", "x,y,z"), ("3", "4", "q,r,s"), ("7", "8", "")}
+
+
 def test_empty_csv(spark, tmp_path):
     (tmp_path / "f.csv").write_text("")
     with pytest.raises(ValueError):
