@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions.flow import flow_feature_columns
 from ..params import DEFAULTS, Params
 from ..schema import FLOW_FEATURES
-from .scan import asof_last, slice_of
+from .scan import asof_last, materialise, slice_of
 
 _COUNTERS = ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient")
 RAW_FLOW = _RAW = ("start_us", "end_us", *_COUNTERS)
@@ -81,49 +81,69 @@ def features_from_hit(joined: DataFrame, alert_columns) -> DataFrame:
     return raw.select(*kept, "hit", "hit_key", *[c.alias(n) for n, c in feats.items()])
 
 
+def _addresses(attackers: DataFrame | None) -> DataFrame | None:
+    """Distinct trimmed addresses as a written table; None for no address at all."""
+    if attackers is None:
+        return None
+    ips = materialise(attackers.select(F.trim("ip").alias("ip")).filter("ip <> ''").distinct())
+    return None if ips.isEmpty() else ips
+
+
+def _spans(windows: DataFrame | None, bucket_s: int) -> DataFrame | None:
+    """Windows merged where they meet, then cut at bucket borders: at most one per bucket and gap; None for none.
+
+    The table of windows is settings, one row per window; it is sorted as a whole.
+    """
+    if windows is None:
+        return None
+    ordered = W.orderBy("start_s", "end_s")
+    reach = F.max("end_s").over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    marked = windows.filter("start_s <= end_s").select("start_s", "end_s").distinct().withColumn(
+        "_new", F.coalesce((F.col("start_s") > reach + 1).cast("int"), F.lit(1))
+    )
+    merged = marked.withColumn("_island", F.sum("_new").over(ordered)).groupBy("_island").agg(
+        F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")
+    )
+    spans = merged.select(
+        "start_s", "end_s",
+        F.explode(F.sequence(slice_of("start_s", bucket_s), slice_of("end_s", bucket_s))).alias("_wb"),
+    ).select(
+        "_wb",
+        F.greatest("start_s", F.col("_wb") * bucket_s).alias("_ws"),
+        F.least("end_s", F.col("_wb") * bucket_s + bucket_s - 1).alias("_we"),
+    )
+    spans = materialise(spans)
+    return None if spans.isEmpty() else spans
+
+
 def attack_flags(
     events: DataFrame, attackers: DataFrame | None, windows: DataFrame | None, bucket_s: int = 3600
 ) -> DataFrame:
     """Adds boolean ``in_attack``: attacker address and attack window both match.
 
-    ``attackers`` has ``ip``; ``windows`` has inclusive ``start_s, end_s``.  A missing table puts
-    no condition; with both missing nothing matches.  Windows are cut at bucket borders and merged
-    inside each bucket, so the join is an equi-join that yields at most one row per event.  No
-    side is hinted: Spark broadcasts a side only when its measured size is below the threshold.
+    ``attackers`` has ``ip``; ``windows`` has inclusive ``start_s, end_s``.  A missing or empty table
+    puts no condition; with both missing or empty nothing matches.  Both are written first, so Spark
+    knows their size and broadcasts them below its threshold: the events are then not shuffled at
+    all.  Larger tables are joined by shuffle; no side is hinted.
     """
-    if attackers is None and windows is None:
+    ips, spans = _addresses(attackers), _spans(windows, bucket_s)
+    if ips is None and spans is None:
         return events.withColumn("in_attack", F.lit(False))
     out, conds = events, []
-    if attackers is not None:
-        ips = attackers.select(F.trim("ip").alias("ip")).filter("ip <> ''").distinct()
-        src = ips.select(F.col("ip").alias("src_ip"), F.lit(True).alias("_src"))
-        dst = ips.select(F.col("ip").alias("dest_ip"), F.lit(True).alias("_dst"))
-        out = out.join(src, "src_ip", "left").join(dst, "dest_ip", "left")
-        conds.append(F.coalesce("_src", "_dst", F.lit(False)))
-    if windows is not None:
-        parts = windows.select(
-            "start_s", "end_s",
-            F.explode(F.sequence(slice_of("start_s", bucket_s), slice_of("end_s", bucket_s))).alias("_bucket"),
-        ).select(
-            "_bucket",
-            F.greatest("start_s", F.col("_bucket") * bucket_s).alias("_ws"),
-            F.least("end_s", F.col("_bucket") * bucket_s + bucket_s - 1).alias("_we"),
-        ).distinct()
-        reach = F.max("_we").over(W.partitionBy("_bucket").orderBy("_ws", "_we").rowsBetween(W.unboundedPreceding, -1))
-        starts = parts.withColumn("_new", F.coalesce((F.col("_ws") > reach).cast("int"), F.lit(1)))
-        island = F.sum("_new").over(W.partitionBy("_bucket").orderBy("_ws", "_we"))
-        merged = (
-            starts.withColumn("_island", island)
-            .groupBy("_bucket", "_island")
-            .agg(F.min("_ws").alias("_ws"), F.max("_we").alias("_we"))
-            .drop("_island")
-        )
+    if spans is not None:
         second = slice_of(F.coalesce(F.col("t_us"), F.lit(0).cast("bigint")), 1_000_000)
         out = out.withColumn("_sec", second).withColumn("_bucket", slice_of("_sec", bucket_s))
-        m = merged.withColumnRenamed("_bucket", "_wb")
         inside = (F.col("_bucket") == F.col("_wb")) & F.col("_sec").between(F.col("_ws"), F.col("_we"))
-        out = out.join(m, inside, "left")
+        out = out.join(spans, inside, "left")
         conds.append(F.col("_ws").isNotNull())
+    if ips is not None:
+        # outside the windows the address does not matter: such rows look up NULL and match nothing
+        asked = [F.when(conds[0], F.col(c)) if conds else F.col(c) for c in ("src_ip", "dest_ip")]
+        for c, name in zip(asked, ("_src", "_dst")):
+            out = out.withColumn(f"{name}_ip", c)
+            found = ips.select(F.col("ip").alias(f"{name}_key"), F.lit(True).alias(name))
+            out = out.join(found, F.col(f"{name}_ip") == F.col(f"{name}_key"), "left")
+        conds.append(F.coalesce("_src", "_dst", F.lit(False)))
     flag = conds[0] if len(conds) == 1 else conds[0] & conds[1]
     return out.withColumn("in_attack", flag).select(*events.columns, "in_attack")
 

@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.times import parse_local
 from ..params import TRAINING_COST, CostRecord
 from ..schema import CLASSIFIER_FEATURES, RETRAIN_REQUIRED, RUNTIME_FEATURES
 from .evaluate import classification_report
 from .filters import require_rows, valid_timestamps
+from .columns import classifier_features, runtime_features_from_dataset
 from .prep import apply_minmax, balanced_weights, fit_minmax, stratified_split, train_val_split
+from .scan import materialise
 
 SCORE_STEPS = 10_000
 
@@ -74,7 +77,7 @@ def train_attack_classifier(
 ) -> tuple[PipelineModel, DataFrame]:
     """Split, fit, report on the held-out rows, optionally save."""
     require_rows(attacks)
-    marked = stratified_split(attacks, label, 0.2, seed, id_col)
+    marked = materialise(stratified_split(materialise(attacks), label, 0.2, seed, id_col))  # read by every later step
     model = fit_attack_classifier(marked.filter("NOT is_test"), label, CLASSIFIER_FEATURES, model_type, trees, depth, seed)
     report = classification_report(score_attack_type(marked.filter("is_test"), model), label, "predicted_type")
     if path:
@@ -148,9 +151,11 @@ def train_detector(
     A row weighs what a wrong decision about it costs.  Returns the detector and its total
     reward on the validation rows, which is never below that of a constant decision.
     """
-    scaler = fit_minmax(train, features)
+    scaler = materialise(fit_minmax(train, features))
     weight = F.when(F.col(label) == 1, F.lit(cost.tp - cost.fn)).otherwise(F.lit(cost.tn - cost.fp))
-    prepared = apply_minmax(train, scaler, features).withColumns({"_w": weight, "_y": F.col(label).cast("double")})
+    prepared = materialise(
+        apply_minmax(train, scaler, features).withColumns({"_w": weight, "_y": F.col(label).cast("double")})
+    )
     pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="_x"),
         LogisticRegression(
@@ -173,6 +178,27 @@ def score_detector(df: DataFrame, detector: Detector) -> DataFrame:
     )
 
 
+def as_model(detector: Detector, classifier: PipelineModel | None = None):
+    """The trained models as one function over enriched alerts, as the pipeline takes it.
+
+    It keeps all columns and adds ``action``, ``confidence`` and, with a classifier, ``attack_type``.
+    The features are computed beside the alert's own columns, from its flow features and ``timestamp``.
+    """
+
+    def model(alerts: DataFrame) -> DataFrame:
+        whole = F.struct(*[F.col(c) for c in alerts.columns]).alias("_alert")
+        scored = score_detector(runtime_features_from_dataset(alerts, (whole,)), detector)
+        out = scored.select("_alert.*", "action", "confidence")
+        if classifier is None:
+            return out
+        whole = F.struct(*[F.col(c) for c in out.columns]).alias("_alert")
+        rows = out.withColumn("_local", parse_local("timestamp"))
+        typed = score_attack_type(classifier_features(rows, (whole,), local="_local"), classifier)
+        return typed.select("_alert.*", F.col("predicted_type").alias("attack_type"))
+
+    return model
+
+
 def retrain_job(dataset: DataFrame, prepare, path: str, version: str, label: str = "y",
                 cost: CostRecord = TRAINING_COST, min_rows: int = 100, seed: int = 42) -> DataFrame:
     """Validates the data set, trains, saves under ``path/version`` and points ``path/current`` at it.
@@ -180,7 +206,7 @@ def retrain_job(dataset: DataFrame, prepare, path: str, version: str, label: str
     ``prepare`` turns the validated rows into ``event_id``, the features and ``label``.
     """
     valid = require_rows(valid_timestamps(dataset, "timestamp", RETRAIN_REQUIRED), min_rows)
-    marked = train_val_split(prepare(valid), 0.8, seed)
+    marked = materialise(train_val_split(materialise(prepare(valid)), 0.8, seed))
     detector, reward = train_detector(marked.filter("is_train"), marked.filter("NOT is_train"), label, cost=cost)
     detector.save(f"{path}/{version}")
     spark = dataset.sparkSession

@@ -24,7 +24,7 @@ from ..streaming import dedup, evaluation, follow, rates
 from ..streaming import detect as SD
 from . import detect, fixture
 from .fixture import FIXTURE_PARAMS, SNAPSHOT_US
-from .oracle import ALLOWLISTED, FLOW_RULE, FLOW_SCORE, chain, flow_features, hash32, r6, signature_class, sql
+from .oracle import ALLOWLISTED, FLOW_RULE, FLOW_SCORE, SEEDED_ID, chain, flow_features, hash32, r6, signature_class, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,6 +153,34 @@ def write_dataset(spark, sf):
     return rounded(back.select(*names), {*FEATS, "confidence", "auto_label_conf", "flows_per_sec", "syn_only_ratio"})
 
 
+_BENIGN = """starts_with(dest_ip, '192.168.38.') AND src_ip <> dest_ip
+  AND pkts_toserver + pkts_toclient >= 4 AND bytes_toserver + bytes_toclient >= 600"""
+
+
+def _training_rows(spark, sf) -> DataFrame:
+    """The stored data set of alerts and sampled benign flows, read back."""
+    path = f"{fixture.scratch(spark)}/dataset"
+    stamp = F.timestamp_micros("t_us").cast("string")
+    flows = B.admit_benign_flows(fixture.flows(spark, sf), FIXTURE_PARAMS)
+    benign = FF.with_flow_features(B.benign_sample(flows, FIXTURE_PARAMS)).withColumn("timestamp", stamp)
+    rows = tables.training_rows(_decisions(spark, sf).withColumn("timestamp", stamp), benign, keep=("event_id",))
+    # one directory per batch number, replaced if the batch is written again
+    write = tables.batch_writer(path)
+    write(rows, 0)
+    write(rows, 0)
+    return spark.read.parquet(path).drop("batch")
+
+
+_FULL = ("src_ip", "dst_ip", "signature", "action", "status", "y_attack", "y_reason")
+
+
+@query("write_dataset_full", f"""SELECT event_id, src_ip, dest_ip AS dst_ip, signature, action, 'detected' AS status, y_attack, y_reason, {FEATS_SQL} FROM decided
+  UNION ALL SELECT event_id, src_ip, dest_ip, 'BENIGN_FLOW', 0, 'benign', 0, 'benign', {FEATS_SQL} FROM ffeat
+  WHERE event_id IN (SELECT event_id FROM flows WHERE {_BENIGN} AND {hash32('CAST(event_id AS VARCHAR)')} % 10000 <= 1500)""")
+def write_dataset_full(spark, sf):
+    return rounded(_training_rows(spark, sf).select("event_id", *_FULL, *FEATS), FEATS)
+
+
 _EVAL_SQL = f"""SELECT event_id, "timestamp", event_type, src_ip, dest_ip AS dst_ip, src_port, dest_port AS dst_port, dest_port, proto,
   {FEATS_SQL}, signature, auto_label, {r6('auto_label_conf', 'auto_label_conf')}, label_sources, y_attack FROM evalrows"""
 
@@ -220,10 +248,6 @@ def in_home_net(spark, sf):
         net.in_network("src_ip", "10.0.0.0/16").alias("src_home"))
 
 
-_BENIGN = """starts_with(dest_ip, '192.168.38.') AND src_ip <> dest_ip
-  AND pkts_toserver + pkts_toclient >= 4 AND bytes_toserver + bytes_toclient >= 600"""
-
-
 @query("admit_benign_flows", f"SELECT event_id FROM flows WHERE {_BENIGN}")
 def admit_benign_flows(spark, sf):
     return B.admit_benign_flows(fixture.flows(spark, sf), FIXTURE_PARAMS).select("event_id")
@@ -965,25 +989,48 @@ def _attacks(spark, sf) -> DataFrame:
     return scan.materialise(C.classifier_features(rows, ("event_id", "attack_type")))
 
 
-@query("train_attack_classifier")
+_ATTACKS = {"atk": "SELECT event_id, auto_label AS attack_type FROM decided WHERE auto_label IN ('dos', 'scan', 'bruteforce')"}
+_TEST = {**_ATTACKS, "test": f"SELECT * FROM ({_STRAT}) q WHERE is_test"}
+# what SQL can know of a report: supports, and that the model is at least as good as the commonest class
+_REPORT_SQL = """SELECT attack_type AS class, count(*) AS support, TRUE AS useful FROM test GROUP BY 1
+  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), count(*), TRUE FROM test"""
+
+
+def _report(report: DataFrame) -> DataFrame:
+    lines = scan.materialise(report)
+    own = ~F.col("class").isin("accuracy", "macro avg", "weighted avg")
+    share = lines.filter(own).agg((F.max("support") / F.sum("support")).alias("share")).scalar()
+    useful = (F.col("class") != "accuracy") | (F.col("f1") >= F.lit(share) - 0.001)
+    return lines.filter((F.col("support") > 0)).select("class", "support", useful.alias("useful"))
+
+
+@query("train_attack_classifier", _REPORT_SQL, _TEST)
 def train_attack_classifier(spark, sf):
     _, report = M.train_attack_classifier(_attacks(spark, sf), f"{fixture.scratch(spark)}/classifier")
-    return report
+    return _report(report)
 
 
-@query("train_attack_classifier_mlp")
+@query("train_attack_classifier_mlp", _REPORT_SQL, _TEST)
 def train_attack_classifier_mlp(spark, sf):
     _, report = M.train_attack_classifier(_attacks(spark, sf), f"{fixture.scratch(spark)}/classifier", model_type="mlp")
-    return report
+    return _report(report)
 
 
-@query("score_attack_type")
+@query("score_attack_type", "SELECT event_id, attack_type, TRUE AS known FROM atk", _ATTACKS)
 def score_attack_type(spark, sf):
     from pyspark.ml import PipelineModel
     rows = _attacks(spark, sf)
     path = f"{fixture.scratch(spark)}/classifier"
     M.fit_attack_classifier(rows).write().overwrite().save(path)
-    return M.score_attack_type(rows, PipelineModel.load(path)).select("event_id", "attack_type", "predicted_type")
+    known = F.col("predicted_type").isin("dos", "scan", "bruteforce").alias("known")
+    return M.score_attack_type(rows, PipelineModel.load(path)).select("event_id", "attack_type", known)
+
+
+_MARKED = {
+    "dfeat": flow_features("ev"),
+    "marked": f"SELECT event_id, CASE WHEN {FLOW_RULE} <> 'benign' THEN 1 ELSE 0 END AS y, row_number() OVER (ORDER BY {hash32(SEEDED_ID)}, event_id) "
+              "<= floor(count(*) OVER () * 0.8::DOUBLE) AS is_train FROM dfeat",
+}
 
 
 def _detector_rows(spark, sf):
@@ -994,34 +1041,55 @@ def _detector_rows(spark, sf):
     return scan.materialise(prep.train_val_split(scan.materialise(C.runtime_features_from_dataset(rows, ("event_id", "y")))))
 
 
-@query("train_detector")
+@query("train_detector", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE y = 1) AS n_positive, TRUE AS beats_constant FROM marked WHERE NOT is_train", _MARKED)
 def train_detector(spark, sf):
     marked = _detector_rows(spark, sf)
     train, val = marked.filter("is_train"), marked.filter("NOT is_train")
     detector, _ = M.train_detector(train, val)
     scored = M.score_detector(val, detector)
-    return rounded(E.cost_score(scored, "action", "y", TRAINING_COST), {"total_reward", "mean_reward"})
+    reward = lambda action: E.cost_score(scored.withColumn("action", action), "action", "y", TRAINING_COST).select("total_reward").scalar()
+    best = F.greatest(reward(F.lit(0)), reward(F.lit(1)))
+    return scored.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_positive"),
+    ).withColumn("beats_constant", reward(F.col("action")) >= best)
 
 
-@query("score_detector")
+@query("score_detector", "SELECT event_id, y, TRUE AS consistent FROM marked", _MARKED)
 def score_detector(spark, sf):
     marked = _detector_rows(spark, sf)
     detector, _ = M.train_detector(marked.filter("is_train"), marked.filter("NOT is_train"))
     path = f"{fixture.scratch(spark)}/detector"
     detector.save(path)
     loaded = M.Detector.load(spark, path)
-    return M.score_detector(marked, loaded).select("event_id", "y", "action", "confidence")
+    fits = F.col("confidence") == F.when(F.col("action") == 1, 0.80).when(F.col("action") == 0, 0.75)
+    return M.score_detector(marked, loaded).select("event_id", "y", fits.alias("consistent"))
 
 
-@query("retrain_job")
+@query("retrain_job", "SELECT 'v1' AS version, TRUE AS threshold_in_range, TRUE AS has_reward")
 def retrain_job(spark, sf):
-    stored = tables.dataset_rows(_decisions(spark, sf).withColumn(
-        "timestamp", F.timestamp_micros("t_us").cast("string")), keep=("event_id",))
-
     def prepare(df):
         return C.runtime_features_from_dataset(df.withColumn("y", F.col("y_attack")), ("event_id", "y"))
 
-    row = M.retrain_job(scan.materialise(stored), prepare, f"{fixture.scratch(spark)}/models", "v1")
-    return row.select("version", "threshold", "validation_reward")
+    row = M.retrain_job(scan.materialise(_training_rows(spark, sf)), prepare, f"{fixture.scratch(spark)}/models", "v1")
+    return row.select(
+        "version", F.col("threshold").between(0, M.SCORE_STEPS + 1).alias("threshold_in_range"),
+        F.col("validation_reward").isNotNull().alias("has_reward"),
+    )
+
 
+_FREE = [c for c in _DETECT_COLS if c not in ("action", "confidence", "y_attack", "y_reason", "should_block", "reason", "blocked")]
 
+
+@query("detect_pipeline_trained", "SELECT " + ", ".join(r6(c, c) if c in _DETECT_ROUND else c for c in _FREE) + ", TRUE AS typed FROM detected")
+def detect_pipeline_trained(spark, sf):
+    """Saved and loaded models in the pipeline; SQL checks the columns that do not depend on them."""
+    from pyspark.ml import PipelineModel
+    marked, path = _detector_rows(spark, sf), fixture.scratch(spark)
+    detector, _ = M.train_detector(marked.filter("is_train"), marked.filter("NOT is_train"))
+    detector.save(f"{path}/detector")
+    M.fit_attack_classifier(_attacks(spark, sf)).write().overwrite().save(f"{path}/classifier")
+    model = M.as_model(M.Detector.load(spark, f"{path}/detector"), PipelineModel.load(f"{path}/classifier"))
+    found = detect.detect(fixture.staged(spark, sf), model, FIXTURE_PARAMS)
+    typed = F.col("attack_type").isin("dos", "scan", "bruteforce").alias("typed")
+    out = found.withColumn("label_sources", text.join_list("label_sources")).select(*_FREE, typed)
+    return rounded(out, _DETECT_ROUND)

@@ -81,7 +81,9 @@ def detect_with(
     An opened block or an announcement of the past is the first link of its key's chain, and is
     left out of what comes back.
     """
-    decided = materialise(decisions(events, model, params, past).select(*OUTPUT))
+    judged = decisions(events, model, params, past)
+    more = [c for c in ("attack_type",) if c in judged.columns]  # given by models that tell types apart
+    decided = materialise(judged.select(*OUTPUT, *more))
     names = [f.split()[0] for f in OPENED.split(", ")]
     requests = drop_whitelisted(decided, params).select(*names)
     stamps = decided.select("src_ip", "signature", "t_us")

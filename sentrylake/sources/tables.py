@@ -51,6 +51,11 @@ def dataset_rows(decided: DataFrame, keep=()) -> DataFrame:
     return decided.select(*keep, *[column(c) for c in (*DATASET_COLUMNS, *AGGREGATE_COLUMNS)])
 
 
+def training_rows(decided: DataFrame, benign: DataFrame, keep=()) -> DataFrame:
+    """Rows of one training data set: decided alerts, and sampled benign flows with flow features."""
+    return dataset_rows(decided, keep).unionByName(dataset_rows(benign, keep))
+
+
 def eval_rows(
     events: DataFrame, attackers: DataFrame | None = None, windows: DataFrame | None = None,
     all_events: bool = False, keep=(),
