@@ -55,6 +55,16 @@ def only(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] for n in names])
 
 
+def by_hash(df: DataFrame, want: int, total: int, *keys: str) -> DataFrame:
+    """A share of the rows, chosen by a hash of ``keys``, that holds about twice ``want`` of ``total`` (all, if fewer).
+
+    Taken before the ``want`` rows of least hash are, so that tasks do not each send that many.
+    """
+    share = 1.0 if total <= 0 else min(1.0, 2.0 * want / total)
+    place = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 40))
+    return df if share >= 1.0 else df.filter(place < int(share * (1 << 40)))
+
+
 def bounded_sample(labels: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
     """At most ``per_class`` labelled keys of each class 0 and 1, chosen by hash: (key, y, n).
 
@@ -66,11 +76,12 @@ def bounded_sample(labels: DataFrame, label: str, per_class: int, key: str = "do
         .groupBy(key).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("y_max"))
         .filter("y = y_max").select(key, "y")
     )
-    counts = clear.groupBy("y").agg(F.count("*").alias("n"))
+    sizes = {r.y: r.n for r in clear.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     picked = [
-        clear.filter(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(per_class) for y in (0, 1)
+        by_hash(clear.filter(F.col("y") == y), per_class, sizes.get(y, 0), key).orderBy(F.xxhash64(key), key).limit(per_class)
+        .withColumn("n", F.lit(sizes.get(y, 0)).cast("bigint")) for y in (0, 1)
     ]
-    return picked[0].unionByName(picked[1]).join(F.broadcast(counts), "y").select(key, "y", "n")
+    return picked[0].unionByName(picked[1])
 
 
 def with_columns_last(docs: DataFrame, *new: str) -> list[Column]:
