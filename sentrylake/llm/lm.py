@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import pieces, remainder, stored, texts
 
@@ -101,7 +102,12 @@ class Counts:
 
 def gather(counts: DataFrame, documents: int, params: Params) -> Counts:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(max(params.head_words, params.classes)).collect()
+    # the least count that at most ``head_words`` words reach, from the histogram of counts
+    many = counts.groupBy("n").agg(F.count("*").alias("m"))
+    reach = many.select("n", F.sum("m").over(W.orderBy(F.desc("n"))).alias("upto"))
+    least = reach.filter(F.col("upto") <= params.head_words).agg(F.min("n").alias("n")).first().n
+    head = [] if least is None else counts.filter(F.col("n") >= least).collect()
+    head.sort(key=lambda r: (-r.n, bytes(r.word)))
     ends = documents
     words = int(total.v) + (1 if ends else 0)
     tokens = int(total.n or 0) + ends
