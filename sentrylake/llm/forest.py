@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_hash, stored
 from .graph import components
 from .simhash import forest as spanning
 
@@ -166,7 +166,8 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
     )
     rows = nodes.count()
-    sample = nodes.select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(params.sample_rows)
+    sample = by_hash(nodes.select("node", "embedding"), params.sample_rows, rows, "node")
+    sample = sample.orderBy(F.xxhash64("node"), "node").limit(params.sample_rows)
     picked = [r.embedding for r in sample.collect()]
     width = len(picked[0]) if picked else 0
     picked = [p for p in picked if len(p) == width]
