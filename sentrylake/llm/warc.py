@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators.scan import checkpoint_root
-from .common import stored
+from .common import by_hash, stored
 
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 1000
@@ -229,11 +229,12 @@ class LoserTree:
             self._replay(w)
 
 
-def boundaries(entries: DataFrame, parts: int) -> list[tuple]:
+def boundaries(entries: DataFrame, parts: int, rows: int) -> list[tuple]:
     """At most ``parts - 1`` cuts (url_key, at, page_id) from a bounded sample, for ranges of about equal size."""
     if parts < 2:
         return []
-    sample = entries.select("url_key", "at", "page_id").orderBy(F.xxhash64("url_key", "at", "page_id", "file", "offset")).limit(SAMPLE_ROWS)
+    own = ("url_key", "at", "page_id", "file", "offset")
+    sample = by_hash(entries, SAMPLE_ROWS, rows, *own).orderBy(F.xxhash64(*own)).limit(SAMPLE_ROWS).select(*own[:3])
     keys = sorted((r.url_key, r.at, -1 if r.page_id is None else r.page_id) for r in sample.collect())
     cuts = [keys[len(keys) * i // parts] for i in range(1, parts)]
     return sorted(set(cuts))
@@ -245,7 +246,7 @@ def merged_index(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     Captures of one URL follow each other by time, which is their history.
     """
     n = entries.count()
-    cuts = boundaries(entries, -(-n // range_rows))
+    cuts = boundaries(entries, -(-n // range_rows), n)
     over = [F.struct(F.lit(u).alias("u"), F.lit(a).alias("a"), F.lit(p).cast("bigint").alias("p")) for u, a, p in cuts]
     own = F.struct(F.col("url_key").alias("u"), F.col("at").alias("a"), F.coalesce("page_id", F.lit(-1)).cast("bigint").alias("p"))
     if over:
