@@ -818,9 +818,9 @@ def dedup_notifications(spark, sf):
 @query("dedup_notifications_stream", "SELECT src_ip, signature, t_us FROM sent")
 def dedup_notifications_stream(spark, sf):
     work = fixture.scratch(spark)
-    stream = dedup.DedupStream(spark, f"{work}/in", f"{work}/state", FIXTURE_PARAMS)
     for i in range(3):
-        fixture.write_chunk(spark, sf, f"{work}/in", i, 3)
+        landing = fixture.write_chunk(spark, sf, f"{work}/in", i, 3)
+        stream = dedup.DedupStream(spark, landing, f"{work}/state", FIXTURE_PARAMS)
         stream.advance()
     stream.finish()
     return stream.result()
@@ -892,9 +892,9 @@ def windowed_source_rates(spark, sf):
 @query("stream_detect", _DETECT_SQL)
 def stream_detect(spark, sf):
     work = fixture.scratch(spark)
-    stream = SD.DetectStream(spark, f"{work}/in", f"{work}/state", fixture.model, FIXTURE_PARAMS)
     for i in range(3):
-        fixture.write_chunk(spark, sf, f"{work}/in", i, 3)
+        landing = fixture.write_chunk(spark, sf, f"{work}/in", i, 3)
+        stream = SD.DetectStream(spark, landing, f"{work}/state", fixture.model, FIXTURE_PARAMS)
         stream.advance()
     stream.finish()
     return _detect_out(stream.result())
