@@ -75,7 +75,12 @@ def flatten_event(eve: DataFrame) -> DataFrame:
 
 
 def normalise_event(eve: DataFrame) -> DataFrame:
-    """Nested records to the flat event columns that every operator of this package reads."""
+    """Nested records to the flat event columns that every operator of this package reads.
+
+    The alternates of the flow counters and the given duration stay columns of their own, since
+    live, evaluation and vector features prefer different ones.  The destination is the first
+    address that is not empty and the first port that is not 0.
+    """
     flow, alert = F.col("flow"), F.col("alert")
     passthrough = [c for c in ("event_id", "log_file", "event_date") if c in eve.columns]
     return eve.select(
@@ -85,16 +90,16 @@ def normalise_event(eve: DataFrame) -> DataFrame:
         times.parse_local("timestamp").alias("ts_local"),
         "event_type",
         "src_ip",
-        F.coalesce("dest_ip", "dst_ip").alias("dest_ip"),
+        text.first_truthy("dest_ip", "dst_ip", empty="").alias("dest_ip"),
         "src_port",
-        F.coalesce("dest_port", "dst_port").alias("dest_port"),
+        F.coalesce(text.first_truthy("dest_port", "dst_port", empty=0), "dest_port", "dst_port").alias("dest_port"),
         "proto", "flow_id", "community_id",
         flow.isNotNull().alias("has_flow"),
         alert.isNotNull().alias("has_alert"),
-        F.coalesce(flow["pkts_toserver"], flow["fwd_pkts_tot"]).alias("pkts_toserver"),
-        F.coalesce(flow["pkts_toclient"], flow["bwd_pkts_tot"]).alias("pkts_toclient"),
-        F.coalesce(flow["bytes_toserver"], flow["fwd_data_pkts_tot"]).alias("bytes_toserver"),
-        F.coalesce(flow["bytes_toclient"], flow["bwd_data_pkts_tot"]).alias("bytes_toclient"),
+        *[flow[c].alias(c) for c in (
+            "pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient",
+            "fwd_pkts_tot", "bwd_pkts_tot", "fwd_data_pkts_tot", "bwd_data_pkts_tot", "flow_duration",
+        )],
         times.parse_micros(F.coalesce(flow["start"], F.col("flow_start"))).alias("start_us"),
         times.parse_micros(F.coalesce(flow["end"], F.col("flow_end"))).alias("end_us"),
         alert["signature"].alias("signature"),

@@ -863,6 +863,50 @@ def active_blocks(spark, sf):
     return policy.active_blocks(_blocks(spark, sf, 60_000_000), SNAPSHOT_US).select("ip", "block_us", "unblock_us")
 
 
+_ALT = ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient")
+_ALT_NAMES = ("fwd_pkts_tot", "bwd_pkts_tot", "fwd_data_pkts_tot", "bwd_data_pkts_tot")
+
+
+def _alternates(mode: str) -> str:
+    plain, other = "CASE WHEN event_id % 3 <> 0 THEN {c} END", "CASE WHEN event_id % 3 < 2 THEN {c} + 7 END"
+    pick = {"live": plain, "eval": f"coalesce({plain}, {other})", "vector": f"coalesce({other}, {plain})"}[mode]
+    rel = f"(SELECT * REPLACE ({', '.join(pick.format(c=c) + ' AS ' + c for c in _ALT)}) FROM flows) {mode}_rel"
+    return f"SELECT event_id, '{mode}' AS path, {FEATS_SQL} FROM ({flow_features(rel, mode)}) {mode}_q"
+
+
+def _real_records(spark, sf):
+    """Records as logs have them: alternates of counters, an empty dest_ip and port 0 beside filled dst_ip and dst_port."""
+    nested = fixture.as_nested(fixture.events(spark, sf))
+    third = F.col("event_id") % 3
+    flow = F.struct(
+        "flow.start", "flow.end", *[F.when(third != 0, F.col(f"flow.{c}")).alias(c) for c in _ALT],
+        *[F.when(third < 2, F.col(f"flow.{c}") + 7).alias(n) for c, n in zip(_ALT, _ALT_NAMES)],
+    )
+    odd = nested.withColumns({
+        "flow": F.when(F.col("flow").isNotNull(), flow), "dst_ip": F.col("dest_ip"), "dest_ip": F.lit(""),
+        "dst_port": F.col("dest_port"), "dest_port": F.lit(0),
+    })
+    path = f"{fixture.scratch(spark)}/real"
+    odd.write.json(path)
+    return C.normalise_event(SE.read_eve_json(spark, path))
+
+
+@query("flow_features_alternates", " UNION ALL ".join(map(_alternates, FF.RATIO_MODES)))
+def flow_features_alternates(spark, sf):
+    flows = B.of_type(scan.materialise(_real_records(spark, sf)), "flow")
+    out = None
+    for mode in FF.RATIO_MODES:
+        part = FF.with_flow_features(flows, mode).select("event_id", F.lit(mode).alias("path"), *FEATS)
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, FEATS)
+
+
+@query("admit_alerts_fallback", "SELECT event_id, dest_port FROM admitted")
+def admit_alerts_fallback(spark, sf):
+    alerts = B.of_type(_real_records(spark, sf), "alert")
+    return B.admit_alerts(alerts, FIXTURE_PARAMS).select("event_id", "dest_port")
+
+
 @query("decide", "SELECT event_id, should_block, reason FROM decided")
 def decide(spark, sf):
     return _decisions(spark, sf).select("event_id", "should_block", "reason")

@@ -33,9 +33,20 @@ def parse_eve_text(df: DataFrame, column: str = "value") -> DataFrame:
     return usable(parsed.select(*others, "_e.*"))
 
 
-def with_event_id(eve: DataFrame) -> DataFrame:
-    """Fills missing ids of a batch table; unique, and stable for unchanged input files."""
-    return eve.withColumn("event_id", F.coalesce("event_id", F.monotonically_increasing_id()))
+def with_event_id(eve: DataFrame, salt: int = 0) -> DataFrame:
+    """Fills missing ids: a negative digest of the record, its occurrence among equal ones and ``salt``.
+
+    The same records get the same ids however the files are cut, and none of the (non-negative)
+    given ones.  Equal records are counted before the shuffle, so many copies do not meet in one
+    task.  Two different records share an id with the chance of a 63-bit hash.
+    """
+    given = eve.filter(F.col("event_id").isNotNull())
+    rest = [c for c in eve.columns if c != "event_id"]
+    none = eve.filter(F.col("event_id").isNull()).groupBy(*rest).agg(F.count("*").alias("_n"))
+    copies = none.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    digest = F.xxhash64(F.to_json(F.struct(*rest)), "_copy", F.lit(salt))
+    filled = copies.select((-1 - F.pmod(digest, F.lit((1 << 63) - 1))).alias("event_id"), *rest)
+    return given.unionByName(filled)
 
 
 def read_dated_json(spark: SparkSession, pattern: str, day: date, fallback: str | None = None) -> DataFrame:

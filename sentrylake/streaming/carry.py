@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.eve import with_event_id
 from .follow import drain, follow_events
 
 START = -(1 << 62)
@@ -72,7 +73,8 @@ class CarryStream:
     def _step(self, batch: DataFrame, number: int) -> None:
         before = number - 1 if number > 0 else None
         since = START if before is None else self.spark.read.parquet(self._at("mark", before)).first().upto
-        batch.filter("t_us IS NOT NULL").write.mode("overwrite").parquet(self._at("seen", number))
+        named = with_event_id(batch.filter("t_us IS NOT NULL"), number)
+        named.write.mode("overwrite").parquet(self._at("seen", number))
         seen = self.spark.read.schema(self.events.schema).parquet(self._at("seen", number))
         seen.filter(F.col("t_us") <= since).write.mode("overwrite").parquet(self._at("late", number))
         latest = seen.agg(F.max("t_us")).first()[0]
