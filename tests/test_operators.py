@@ -89,14 +89,16 @@ def rated(spark, rows):
     return {r.event_id: r for r in windows.with_source_rates(alerts, flows, P).collect()}
 
 
-def test_rates_bounds_and_cap(spark):
+def test_rates_bounds_and_no_cap(spark):
     rows = [event(1, 0), event(2, 10 * SEC), alert(3, 10 * SEC), alert(4, 10 * SEC + 1)]
     got = rated(spark, rows)
     assert (got[3].flows_per_sec, got[4].flows_per_sec) == (0.2, 0.1)
     rows = [event(i, i) for i in range(250)] + [alert(999, 300)] + [alert(1000, 300, src="10.9.9.9")]
     got = rated(spark, rows)
-    assert got[999].flows_per_sec == 20.0 and got[1000].flows_per_sec == 0.0
+    assert got[999].flows_per_sec == 25.0 and got[1000].flows_per_sec == 0.0
     assert got[1000].alerts_count_5s == 1
+    got = rated(spark, [alert(i, 100 + i, sig="syn" if i % 4 == 0 else "other") for i in range(1000)])
+    assert (got[999].alerts_count_5s, got[999].syn_only_ratio, got[999].hits_30s) == (1000, 0.25, 1000)
 
 
 def test_rates_syn_and_hits(spark):
@@ -198,14 +200,29 @@ def test_block_intervals(spark):
     assert E.blocked_count(policy.active_blocks(blocks, 6)).first().n_blocked == 2
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_block_commands(spark, limit):
+def test_block_commands(spark):
     rows = [decision(i, src="a", t=t) for i, t in enumerate([0, 3, 4, 9, 13, 14, 30])]
     commands = spark.createDataFrame([("a", 4), ("a", 8), ("z", 1), ("a", 35)], "ip string, t_us long")
-    blocks = policy.block_intervals(policy.decide(spark.createDataFrame(rows, DECISION), P), 10, P, commands, limit)
+    blocks = policy.block_intervals(policy.decide(spark.createDataFrame(rows, DECISION), P), 10, P, commands)
     assert sorted((r.block_us, r.unblock_us) for r in blocks.collect()) == [(0, 4), (4, 8), (9, 19), (30, 35)]
 
 
+def test_attack_flags_with_empty_tables(spark):
+    rows = spark.createDataFrame([("a", "x", 5), ("b", "a", 50), ("b", "x", 5), (None, None, None)], "src_ip string, dest_ip string, t_s long")
+    events = rows.select("src_ip", "dest_ip", (F.col("t_s") * 1_000_000).alias("t_us"))
+    ips = spark.createDataFrame([(" a ",), ("",)], "ip string")
+    windows = spark.createDataFrame([(0, 9), (4, 6), (9000, 8000)], "start_s long, end_s long")
+    flags = lambda i, w: [r.in_attack for r in J.attack_flags(events, i, w).orderBy("src_ip", "dest_ip").collect()]
+    none_ips, none_windows = ips.filter("ip = ''"), windows.filter("start_s > end_s")
+    # order: (None), (a x 5), (b a 50), (b x 5); an unknown time counts as 0
+    assert flags(ips, windows) == [False, True, False, False]
+    assert flags(ips, None) == flags(ips, none_windows) == [False, True, True, False]
+    assert flags(None, windows) == flags(none_ips, windows) == [True, True, False, True]
+    assert flags(None, None) == flags(none_ips, none_windows) == [False] * 4
+    plan = J.attack_flags(events, ips, windows)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan  # small tables: events stay where they are
+
+
 def test_whitelist(spark):
     df = spark.createDataFrame([(s,) for s in ("10.0.0.1", "192.168.38.10", "10.0.0.7", "10.0.0.8")], "src_ip string")
     extra = spark.createDataFrame([("10.0.0.8",)], "ip string")
