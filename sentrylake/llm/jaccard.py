@@ -1,0 +1,198 @@
+"""Near duplicates by the Jaccard similarity of word shingles: banded minima, exact verification.
+
+The shingles of a text are its runs of ``shingle`` words, hashed to 64 bits.  Texts of equal sets are
+one node.  A node gives ``bands`` keys, each of the minima of ``rows`` permutations of its set; a pair
+of similarity s shares a key with probability 1 - (1 - s^rows)^bands, 0.997 at s = 0.8.  Nodes
+reachable over common keys form a candidate group.  Its sets are sent once and all its pairs are
+compared exactly, also those without a common key; a large group in pairs of blocks by separate
+tasks.  A task gives back a spanning forest of the links, never the pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import pieces, stored, texts
+from .graph import components
+from .simhash import forest, simhash_components
+
+
+@dataclass(frozen=True)
+class Params:
+    least: float = 0.8
+    shingle: int = 5
+    bands: int = 32
+    rows: int = 8
+    seed: int = 42
+    block_rows: int = 512
+    block_bytes: int = 1 << 23
+
+
+SPILL_WORDS = 50_000
+PART = 256  # shingles whose permutations are held at once
+FEW, COLUMNS = 64, 4096  # shingles in more sets than FEW are counted by matrix products, COLUMNS at a time
+
+
+class Words(dict):
+    """Hash by word, filled as words are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > SPILL_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: bytes, size: int, words: Words) -> np.ndarray:
+    """Sorted hashes of the set; A-Z count as a-z, words are cut at ASCII white space.
+
+    A text of fewer words than ``size`` is one shingle, one without words has none.
+    """
+    parts = [np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws)) for ws in (p.lower().split() for p in pieces(text))]
+    w = np.concatenate(parts)
+    if not len(w):
+        return w
+    n = max(1, len(w) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(size, len(w))):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n])
+    return np.unique(h)
+
+
+def factors(params: Params) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(params.seed)
+    n = params.bands * params.rows
+    return rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, n, dtype=np.uint64)
+
+
+def band_keys(s: np.ndarray, params: Params, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key for each band of a set; an empty set has none."""
+    if not len(s):
+        return s.view(np.int64)
+    least = np.full(len(a), 2**64 - 1, np.uint64)
+    for at in range(0, len(s), PART):
+        least = np.minimum(least, (a[:, None] * s[None, at : at + PART] + b[:, None]).min(axis=1))
+    key = np.arange(params.bands, dtype=np.uint64)
+    for column in least.reshape(params.bands, params.rows).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key.view(np.int64)
+
+
+def _links(x: list[np.ndarray], y: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (those of ``y`` follow those of ``x``) of pairs at or above ``least``; y empty: pairs within x."""
+    sets = x + y
+    n, first = len(sets), len(x)
+    size = np.array([len(s) for s in sets], np.int64)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    row, column = np.repeat(np.arange(n), size)[order], column[order]
+    both = np.zeros(n * n, np.int32)
+    few = many[column] <= FEW
+    r, c = row[few], column[few]
+    at = np.arange(len(r))
+    for shift in range(1, FEW):
+        at = at[at + shift < len(r)]
+        at = at[c[at] == c[at + shift]]
+        if not len(at):
+            break
+        both += np.bincount(r[at] * n + r[at + shift], minlength=n * n).astype(np.int32)
+    r, c = row[~few], np.unique(column[~few], return_inverse=True)[1]
+    both = both.reshape(n, n)
+    for low in range(0, int(c[-1]) + 1 if len(c) else 0, COLUMNS):
+        part = slice(np.searchsorted(c, low), np.searchsorted(c, low + COLUMNS))
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[r[part], c[part] - low] = 1
+        both += (table @ table.T).astype(np.int32)  # exact: sums below 2^24
+    i, j = np.nonzero(both >= least * (size[:, None] + size[None, :] - both) - 1e-9)
+    near = (i < j) & ((i < first) & (j >= first) if y else True)
+    return i[near], j[near]
+
+
+def _compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    pdf = pdf.sort_values(["side", "node"])
+    sets = [np.frombuffer(v, np.uint64) for v in pdf["v"]]
+    n = int((pdf["side"] == 0).sum())
+    a, b = _links(sets[:n], sets[n:], least)
+    node = pdf["node"].to_numpy()
+    label = forest(a, b, len(node))
+    moved = np.flatnonzero(label != np.arange(len(node)))
+    return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
+
+
+def similar_links(docs: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
+    """(a, b): links that connect the rows of ``docs`` (row_no, unique and written; text) of similarity ``least`` or more.
+
+    Texts without words link with each other only.
+    """
+    a, b = factors(params)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            high, low, keys = [], [], []
+            for text in texts(batch):
+                s = shingles(text, params.shingle, words)
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                high.append(int.from_bytes(d[:8], "big", signed=True))
+                low.append(int.from_bytes(d[8:], "big", signed=True))
+                keys.append(band_keys(s, params, a, b))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row_no", "high", "low", "keys"],
+            )
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            v = [shingles(t, params.shingle, words).tobytes() for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v, pa.binary())], names=["node", "root", "v"])
+
+    signed = stored(docs.select("row_no", "text").mapInArrow(sign, "row_no bigint, high bigint, low bigint, keys array<bigint>"))
+    least = signed.groupBy("high", "low").agg(F.min("row_no").alias("node"))
+    equal = stored(signed.select("row_no", "high", "low").join(least, ["high", "low"]).select("row_no", "node"))
+    alone = equal.filter("row_no = node").select(F.col("row_no").alias("of"))
+    each = signed.join(alone, F.col("row_no") == F.col("of")).select(F.col("row_no").alias("a"), F.explode("keys").alias("key"))
+    met = each.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).filter("b < most").select("key", "b")
+    group = stored(components(each.join(met, "key").select("a", "b")))
+    members = docs.select("row_no", "text").join(group, F.col("row_no") == F.col("node")).select("node", "root", "text")
+    placed = stored(members.mapInArrow(sets, "node bigint, root bigint, v binary"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("v").cast("bigint")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / params.block_rows, F.col("bytes") / params.block_bytes)).cast("int")
+    part = placed.join(sizes, "root").withColumn("blocks", blocks)
+    part = part.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "v",
+    )
+    at_least = params.least
+    found = part.groupBy("root", "i", "j").applyInPandas(lambda pdf: _compare(pdf, at_least), "a bigint, b bigint")
+    return equal.filter("row_no <> node").select(F.col("row_no").alias("a"), F.col("node").alias("b")).union(found)
+
+
+def keep_first(docs: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
+    """One document of each group, with its own columns: that of smallest id, null ids last.
+
+    Links are those of ``op10_simhash`` and those of similarity ``least`` or more.
+    """
+    found = simhash_components(docs)
+    rows = stored(found.select("row_no", "doc_id", "first_row"))
+    links = rows.select(F.col("row_no").alias("a"), F.col("first_row").alias("b")).union(similar_links(found, params))
+    grouped = rows.join(components(links), F.col("row_no") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row_no"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_no").alias("row"))
+    best = stored(grouped.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("stays")))
+    kept = found.join(best, found["row_no"] == best["stays"])
+    return kept.select(*[found[c] for c in docs.columns])

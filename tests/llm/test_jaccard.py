@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from sentrylake.llm import jaccard
+
+from .helpers import documents, groups, read
+from .test_simhash import expected, plain_fingerprint
+
+
+def plain_set(text, n=5):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def firsts(rows):
+    """Smallest ids of the groups by brute force: 4-bit SimHash links and 5-word Jaccard of 0.8 or more."""
+    sets, fp = {i: plain_set(t) for i, t in rows}, {i: plain_fingerprint(t) for i, t in rows}
+    ids = sorted(sets)
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    links = [(a, b) for a in ids for b in ids if a < b and (bin(fp[a] ^ fp[b]).count("1") <= 4 or similar(sets[a], sets[b]))]
+    return sorted(set(groups(ids, links).values()))
+
+
+def edited(rng, base, n):
+    w = list(base)
+    for k in rng.choice(len(w), n, replace=False):
+        w[k] = f"e{rng.integers(10**9)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_edited_copies_against_brute_force(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(8):
+        base = [f"w{g}x{rng.integers(400)}" for _ in range(int(rng.integers(60, 300)))]
+        texts += [" ".join(base)] + [edited(rng, base, int(rng.integers(1, 2 + len(base) // 30))) for _ in range(12)]
+    texts += [None, "", " \t", "one two", "ONE two", "one two three", texts[0].upper()]
+    rows = list(enumerate(texts))
+    want = firsts(rows)
+    got = jaccard.keep_first(documents(spark, rows), jaccard.Params(block_rows=block))
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert len(want) < len({c for _, c in expected(rows).values()}) - 20  # SimHash alone keeps more
+
+
+def test_stage_drops_edited_copies_of_the_given_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = read(sf, "documents")
+    got = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == firsts(list(zip(docs.doc_id, docs.text)))
+
+
+def test_odd_rows(spark):
+    got = jaccard.keep_first(documents(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, None)]))
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "None"]
+    assert jaccard.keep_first(documents(spark, [])).count() == 0
