@@ -151,8 +151,8 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     """vec_id, n_links, component_id, kept; a row per row of ``vectors`` (vec_id, embedding, label).
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null
-    label, link with nothing: no links, a component of their own, kept.  Vectors of other length
-    than the first of the sample are compared with equal ones only.  Rows of equal vec_id are rows
+    label, link with nothing: no links, a component of their own, kept.  Vectors of each length have
+    trees and leaves of their own; a length that the sample misses is one leaf.  Rows of equal vec_id are rows
     of their own; null vec_ids are passed over as component_id, and kept if there is no other.
     """
     spark = vectors.sparkSession
@@ -168,20 +168,26 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     rows = nodes.count()
     sample = by_hash(nodes.select("node", "embedding"), params.sample_rows, rows, "node")
     sample = sample.orderBy(F.xxhash64("node"), "node").limit(params.sample_rows)
-    picked = [r.embedding for r in sample.collect()]
-    width = len(picked[0]) if picked else 0
-    picked = [p for p in picked if len(p) == width]
-    trees = grow(unit(np.array(picked)) if picked else np.zeros((0, 1)), rows, params)
+    picked: dict[int, list] = {}
+    for r in sample.collect():
+        picked.setdefault(len(r.embedding), []).append(r.embedding)
+    widths = nodes.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).filter(F.col("width").isin(list(picked)))
+    sizes = {r.width: r.n for r in widths.collect()}  # at most ``sample_rows``
+    trees = {width: grow(unit(np.array(v)), sizes[width], params) for width, v in picked.items()}
+    missed = [Tree(0, params.seed, 0.0)]
     shared = spark.sparkContext.broadcast(trees)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column(1).to_pylist()
-            fits = np.array([i for i, v in enumerate(values) if len(v) == width], np.int64)
+            by_width: dict[int, list[int]] = {}
+            for i, v in enumerate(values):
+                by_width.setdefault(len(v), []).append(i)
             lists: list[list[int]] = [[] for _ in values]
-            if len(fits):
+            for width, held in by_width.items():
+                fits = np.array(held, np.int64)
                 x = unit(np.array([values[i] for i in fits], np.float64))
-                for tree in shared.value:
+                for tree in shared.value.get(width, missed):
                     for leaf, at in tree.leaves(x):
                         for i in fits[at]:
                             lists[i].append(leaf)
@@ -194,18 +200,18 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
         nodes.select("node", F.col("embedding").alias("v"), F.col("label").cast("bigint").alias("label"), "copies")
         .mapInArrow(place, f"node bigint, v {kind}, label bigint, copies bigint, leaves array<bigint>")
     )
-    each = placed.withColumn("leaf", F.explode("leaves"))
-    sizes = each.groupBy("label", "leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    each = each.join(sizes, ["label", "leaf"])
+    each = placed.withColumn("leaf", F.explode("leaves")).withColumn("width", F.size("v"))
+    many = each.groupBy("label", "leaf", "width").agg(F.count("*").alias("n")).filter("n > 1")
+    each = each.join(many, ["label", "leaf", "width"])
     blocks = F.ceil(F.col("n") / params.block_rows).cast("int")
     each = each.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select(
-        "label", "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "label", "leaf", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "v", "copies", "leaves",
     )
     cosine = params.cosine
-    found = stored(each.groupBy("label", "leaf", "i", "j").applyInPandas(
+    found = stored(each.groupBy("label", "leaf", "width", "i", "j").applyInPandas(
         lambda key, pdf: _compare(key, pdf, cosine), "node bigint, root bigint, links bigint"
     ))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -79,3 +79,14 @@ def test_bad_rows(spark):
     rows += [(None, [1.0, 0.0], 0), (None, [0.0, 1.0], 0), (12, [1e-30, 0.0], 0), (13, [3e38, 1e30], 0)]
     assert run(spark, rows) == sorted(brute(rows[:-2] + [(12, [1.0, 0.0], 0), (13, [1.0, 0.0], 0)])[0], key=str)
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("sample", [20_000, 3])
+def test_each_width_has_its_near_duplicates(spark, sample):
+    rng = np.random.default_rng(4)
+    rows = []
+    for width in (8, 16, 5):
+        for c in range(1 if width == 5 else 10):
+            rows += [(len(rows) + i, v, c % 2) for i, v in enumerate(cluster(rng, rng.normal(size=width), 8, 0.05))]
+    want, pairs = brute(rows)
+    assert pairs > 300 and run(spark, rows, leaf_rows=40, sample_rows=sample) == sorted(want, key=str)
