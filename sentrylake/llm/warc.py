@@ -230,12 +230,12 @@ class LoserTree:
 
 
 def boundaries(entries: DataFrame, parts: int, rows: int) -> list[tuple]:
-    """At most ``parts - 1`` cuts (url_key, at, page_id) from a bounded sample, for ranges of about equal size."""
+    """At most ``parts - 1`` cuts (url_key, at, page_id, file, offset) from a bounded sample, for ranges of about equal size."""
     if parts < 2:
         return []
     own = ("url_key", "at", "page_id", "file", "offset")
-    sample = by_hash(entries, SAMPLE_ROWS, rows, *own).orderBy(F.xxhash64(*own)).limit(SAMPLE_ROWS).select(*own[:3])
-    keys = sorted((r.url_key, r.at, -1 if r.page_id is None else r.page_id) for r in sample.collect())
+    sample = by_hash(entries, SAMPLE_ROWS, rows, *own).orderBy(F.xxhash64(*own)).limit(SAMPLE_ROWS).select(*own)
+    keys = sorted((r.url_key, r.at, -1 if r.page_id is None else r.page_id, r.file, r.offset) for r in sample.collect())
     cuts = [keys[len(keys) * i // parts] for i in range(1, parts)]
     return sorted(set(cuts))
 
@@ -247,8 +247,14 @@ def merged_index(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """
     n = entries.count()
     cuts = boundaries(entries, -(-n // range_rows), n)
-    over = [F.struct(F.lit(u).alias("u"), F.lit(a).alias("a"), F.lit(p).cast("bigint").alias("p")) for u, a, p in cuts]
-    own = F.struct(F.col("url_key").alias("u"), F.col("at").alias("a"), F.coalesce("page_id", F.lit(-1)).cast("bigint").alias("p"))
+    over = [
+        F.struct(F.lit(u).alias("u"), F.lit(a).alias("a"), F.lit(p).cast("bigint").alias("p"), F.lit(f).alias("f"), F.lit(o).cast("bigint").alias("o"))
+        for u, a, p, f, o in cuts
+    ]
+    own = F.struct(
+        F.col("url_key").alias("u"), F.col("at").alias("a"), F.coalesce("page_id", F.lit(-1)).cast("bigint").alias("p"),
+        F.col("file").alias("f"), F.col("offset").cast("bigint").alias("o"),
+    )
     if over:
         bounds = F.array(*over)
         number = F.size(F.filter(bounds, lambda x: x <= own))

@@ -88,3 +88,13 @@ def test_empty_and_url_keys(spark, tmp_path):
 def test_damaged_archives_are_reported():
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
+
+
+def test_equal_records_over_several_ranges(spark, tmp_path):
+    rows = [(7, "http://hot.example/", LONG)] * 120 + [(None, "http://none.example/", LONG)] * 120
+    path = str(tmp_path / "arc")
+    warc.write(pages(spark, rows), path, records_per_file=23)
+    got = warc.merged_index(warc.stored(warc.runs(spark, path)), range_rows=30).orderBy("position").collect()
+    order = [(r.url_key, r["at"], r.page_id is not None, r.page_id or 0, r.file, r.offset) for r in got]
+    assert order == sorted(order) and len(got) == 240
+    assert max(sum(r.range_id == k for r in got) for k in {r.range_id for r in got}) <= 60
