@@ -3,7 +3,8 @@
 A micro-batch is joined by what the one before left over.  Its rows up to the watermark (the
 latest time stamp seen less the allowed delay) are final: they are put through the same operators
 as a table, together with small carry tables that stand for all earlier rows.  Rows after the
-watermark wait.  Rows that come when the watermark has passed them are written to a side table.
+watermark wait.  Rows that come when the watermark has passed them are written to a side table, those
+without a time stamp to another.
 
 Everything is written under the number of the micro-batch and replaced if that is run again.  No
 key is gathered in one task: a hot source is split as in a batch.
@@ -53,6 +54,10 @@ class CarryStream:
         """Rows that came after the watermark had passed them."""
         return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.work}/late")
 
+    def untimed(self) -> DataFrame:
+        """Rows without a time stamp that can be read, as they came."""
+        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.work}/untimed")
+
     def _at(self, kind: str, number: int | str) -> str:
         return f"{self.work}/{kind}/{number if isinstance(number, str) else f'{number:09d}'}"
 
@@ -73,6 +78,7 @@ class CarryStream:
     def _step(self, batch: DataFrame, number: int) -> None:
         before = number - 1 if number > 0 else None
         since = START if before is None else self.spark.read.parquet(self._at("mark", before)).first().upto
+        batch.filter("t_us IS NULL").write.mode("overwrite").parquet(self._at("untimed", number))
         named = with_event_id(batch.filter("t_us IS NOT NULL"), number)
         named.write.mode("overwrite").parquet(self._at("seen", number))
         seen = self.spark.read.schema(self.events.schema).parquet(self._at("seen", number))

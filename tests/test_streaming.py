@@ -113,3 +113,12 @@ def test_eval_stream(spark, sf, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.count() == fixture.flows(spark, sf).count()
     assert set(r[0] for r in rows.select("auto_label").distinct().collect()) <= {"benign", "attacker_window"}
+
+
+def test_rows_without_time_are_kept_aside(spark, sf, tmp_path):
+    landing, work = str(tmp_path / "in"), str(tmp_path / "work")
+    part = fixture.as_nested(fixture.events(spark, sf).limit(3))
+    part.withColumn("timestamp", F.lit("no time")).write.mode("append").json(landing)
+    stream = DetectStream(spark, landing, work, fixture.model, FIXTURE_PARAMS)
+    stream.advance()
+    assert stream.untimed().count() == 3 and stream.late().count() == 0
