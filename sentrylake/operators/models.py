@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,21 +48,24 @@ def fit_attack_classifier(
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip")
     fitted = indexer.fit(train)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    prepared = [assembler]
     if model_type == "rf":
         learner = RandomForestClassifier(
             featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_p",
             numTrees=trees, maxDepth=depth, seed=seed,
         )
     elif model_type == "mlp":
+        # byte counts next to ports in 0..1: a perceptron needs them on one scale
+        prepared.append(StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True))
         learner = MultilayerPerceptronClassifier(
-            featuresCol="_x", labelCol="_y", predictionCol="_p",
+            featuresCol="_z", labelCol="_y", predictionCol="_p",
             layers=[len(features), 128, 64, len(fitted.labels)], maxIter=100, seed=seed,
         )
     else:
         raise ValueError("model_type must be 'rf' or 'mlp'")
     names = IndexToString(inputCol="_p", outputCol="predicted_type", labels=fitted.labels)
     weighted = balanced_weights(train, label, "_w")
-    body = Pipeline(stages=[assembler, learner, names]).fit(fitted.transform(weighted))
+    body = Pipeline(stages=[*prepared, learner, names]).fit(fitted.transform(weighted))
     return PipelineModel(stages=body.stages)
 
 
