@@ -39,13 +39,18 @@ def default_tokenizer() -> str:
 MARKS = ".,;:!?*#$%&|"
 
 
+#: Words learnt in one call of the tokenizer.
+TOGETHER = 4096
+
+
 class WordIds(dict):
-    """Word to its ids as little-endian 32-bit bytes, filled on demand and emptied when it grows too large.
+    """Word to its ids as little-endian 32-bit bytes, learnt many at once and emptied when it grows too large.
 
     The tokenizer cuts at white space before all else and drops it, so the ids of a text are those
     of its words one after the other; it then cuts letters from marks and lowers their case, so a
-    word of letters with marks behind it is put together from the two.  A test holds this against
-    whole texts.
+    word of letters with marks behind it is put together from the two.  Words of letters are given
+    to the tokenizer as one text: the last id of each is one of a word's end.  A test holds this
+    against whole texts.
     """
 
     def __init__(self, path: str):
@@ -53,24 +58,60 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def single(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_letters(self, words: list[str]) -> None:
+        """Lower-case words of letters alone."""
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(some):
+                self.update((w.encode(), self.single(w)) for w in some)
+                continue
+            data = ids.tobytes()
+            self.update((w.encode(), data[a:b]) for w, a, b in zip(some, [0, *stops], stops))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Every word of ``words`` is known afterwards."""
+        new = {w for w in words if w not in self}
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        letters = text.rstrip(MARKS)
-        if letters and letters.isalpha() and (len(letters) < len(text) or not word.islower()):
-            low = letters.encode().lower()
-            if low != word:
-                marks = text[len(letters) :].encode()
-                self[word] = found = self[low] + (self[marks] if marks else b"")
-                return found
-        found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = found
-        return found
+            new = words
+        letters, joined = set(), []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            front = text.rstrip(MARKS)
+            if front.isalpha() and (low := front.lower()).isalpha():
+                if low == text:
+                    letters.add(low)
+                    continue
+                if (key := low.encode()) not in self:
+                    letters.add(low)
+                joined.append((word, key, text[len(front) :].encode()))
+            else:
+                self[word] = self.single(text)
+        self.learn_letters(list(letters))
+        for word, key, marks in joined:
+            if marks and marks not in self:
+                self[marks] = self.single(marks.decode())
+            self[word] = self[key] + (self[marks] if marks else b"")
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join([b"".join(map(self.__getitem__, part.split())) for part in text_pieces(text)])
+        out = []
+        for part in text_pieces(text):
+            words = part.split()
+            try:
+                out.append(b"".join(map(self.__getitem__, words)))
+            except KeyError:
+                self.learn(set(words))
+                out.append(b"".join(map(self.__getitem__, words)))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
