@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, lm, mixing, nbsvm, packing, sharding, simhash, topk, toxicity, warc
+from . import align, forest, lm, mih, mixing, nbsvm, negatives, packing, sharding, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +65,19 @@ def op5_lm(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-@query("op6_topk")
+_TOPK_SQL = """
+WITH r AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)),
+p AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+  FROM r AS q JOIN r AS x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 20
+"""
+
+
+@query("op6_topk", _TOPK_SQL)
 def op6_topk(spark, sf_dir):
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -89,3 +101,39 @@ def op9_sharding(spark, sf_dir):
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_mih")
+def op11_mih(spark, sf_dir):
+    return mih.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+_NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)),
+p AS (
+  SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, CAST(list_dot_product(a.v, x.v) AS BIGINT) AS s
+  FROM r AS a JOIN r AS x ON a.vec_id % 50 = 0 AND a.vec_id <> x.vec_id),
+pos AS (
+  SELECT anchor_id, id AS positive_id, s AS positive_score
+  FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, s AS negative_score
+FROM pos JOIN p USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
+@query("op12_negatives", _NEGATIVES_SQL)
+def op12_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_align")
+def op13_align(spark, sf_dir):
+    return align.align(table(spark, sf_dir, "documents"))
