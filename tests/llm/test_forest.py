@@ -60,15 +60,27 @@ def test_clusters_copies_and_labels(spark, leaf, block):
 
 
 def test_recall_on_given_vectors(spark):
+    """The given vectors hold no pair this near, so one in five gets three neighbours of 0.98 to 1."""
     import pandas as pd
 
-    e = pd.read_parquet("/root/testdata/check_s/embeddings.parquet")
-    got = X.near_duplicates(spark.read.parquet("/root/testdata/check_s/embeddings.parquet")).toPandas()
-    assert sorted(got.vec_id) == sorted(e.vec_id)
-    want = 0
-    for _, part in e.groupby("label"):
+    e = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rng = np.random.default_rng(21)
+    rows = [(int(i), v, int(c)) for i, v, c in zip(e.vec_id, e.embedding, e.label)]
+    for i, v, c in rows[::5]:
+        for k in range(1, 4):
+            near = v + rng.normal(size=len(v)) * rng.uniform(0.0, 0.19) / math.sqrt(len(v))
+            rows.append((i + k * 1_000_000, near.astype(np.float32), c))
+    table = pd.DataFrame(rows, columns=["vec_id", "embedding", "label"])
+    got = X.near_duplicates(spark.createDataFrame(
+        [(i, [float(x) for x in v], c) for i, v, c in rows], "vec_id bigint, embedding array<float>, label int")).toPandas()
+    assert sorted(got.vec_id) == sorted(table.vec_id)
+    want, close = 0, 0
+    for _, part in table.groupby("label"):
         x = X.unit(np.stack(part.embedding.to_numpy()))
-        want += int((x @ x.T >= 0.98).sum()) - len(x)
+        cosine = x @ x.T
+        want += int((cosine >= 0.98).sum()) - len(x)
+        close += int(((cosine >= 0.98) & (cosine < 0.99)).sum())
+    assert want > 2000 and close > 400  # near the limit, too
     assert want * 0.99 <= got.n_links.sum() <= want
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
