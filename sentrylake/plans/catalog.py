@@ -20,7 +20,7 @@ from ..operators import policy, prep, profile, scan, windows
 from ..params import ENV_COST, TRAINING_COST
 from ..sources import eve as SE
 from ..sources import flow_csv, tables
-from ..streaming import dedup, evaluation, follow, rates
+from ..streaming import blocks, dedup, evaluation, follow, rates
 from ..streaming import detect as SD
 from . import detect, fixture
 from .fixture import FIXTURE_PARAMS, SNAPSHOT_US
@@ -863,6 +863,54 @@ def active_blocks(spark, sf):
     return policy.active_blocks(_blocks(spark, sf, 60_000_000), SNAPSHOT_US).select("ip", "block_us", "unblock_us")
 
 
+def _block_stream(spark, sf, with_commands):
+    """Requests (and commands) arrive in three parts; some of the first part come with the last, when they are late."""
+    work = fixture.scratch(spark)
+    decided = J.drop_whitelisted(_decisions(spark, sf), FIXTURE_PARAMS).filter("should_block")
+    decided = scan.materialise(decided.select("src_ip", "t_us", "should_block", "reason", "confidence", "event_id"))
+    commands = fixture.flows(spark, sf).filter("k % 9 = 0").select(F.col("src_ip").alias("ip"), "t_us", "event_id")
+    for i in range(3):
+        fixture.write_rows_chunk(decided, f"{work}/requests", i)
+        closing = None
+        if with_commands:
+            fixture.write_rows_chunk(commands, f"{work}/commands", i)
+            closing = spark.readStream.schema("ip string, t_us long").parquet(f"{work}/commands")
+        requests = blocks.follow_decisions(spark, f"{work}/requests")
+        events = blocks.block_events(requests, closing, 60_000_000, FIXTURE_PARAMS)
+        blocks.write_blocks(events, f"{work}/out", f"{work}/state")
+    return spark.read.parquet(f"{work}/out")
+
+
+_IN_TIME = f"NOT ({fixture.LATE} AND t_us < {fixture.START_US + fixture.SPAN_US // 3})"
+_STREAM_SQL = {
+    "s_requests": f"SELECT * FROM requests WHERE {_IN_TIME}",
+    "s_cmd": f"SELECT DISTINCT src_ip AS ip, t_us FROM flows WHERE k % 9 = 0 AND {_IN_TIME}",
+}
+
+
+@query("active_blocks_stream", """SELECT ip, t_us AS block_us, t_us + 60000000 AS unblock_us, ended AS released
+  FROM chained, w, (SELECT unnest([false, true]) AS ended) WHERE CASE WHEN ended THEN t_us + 60000000 ELSE t_us END <= w.upto""", {
+    **_STREAM_SQL, "chained": chain("s_requests", ["ip"], 60_000_000).replace("{self}", "chained"),
+    "w": "SELECT max(t_us) // 1000 * 1000 - 10000000 AS upto FROM s_requests"})
+def active_blocks_stream(spark, sf):
+    return _block_stream(spark, sf, False).select("ip", "block_us", "unblock_us", "released")
+
+
+@query("block_intervals_stream", f"""SELECT ip, block_us, unblock_us, reason, {r6('confidence', 'confidence')}, event_id FROM (
+    SELECT c.ip, c.t_us AS block_us,
+      least(c.t_us + 60000000, coalesce((SELECT min(m.t_us) FROM s_cmd m WHERE m.ip = c.ip AND m.t_us > c.t_us), c.t_us + 60000000)) AS unblock_us,
+      d.reason, d.confidence, d.event_id
+    FROM chained c JOIN s_requests q USING (ip, t_us) JOIN decided d USING (event_id)) b, w WHERE unblock_us <= w.upto""", {
+    **_STREAM_SQL,
+    "reqs": "SELECT q.ip, q.t_us, coalesce((SELECT max(c.t_us) FROM s_cmd c WHERE c.ip = q.ip AND c.t_us <= q.t_us), -1) AS since FROM s_requests q",
+    "chained": chain("reqs", ["ip", "since"], 60_000_000).replace("{self}", "chained"),
+    "w": """SELECT least(r, c) // 1000 * 1000 - 10000000 AS upto
+      FROM (SELECT max(t_us) AS r FROM s_requests) a, (SELECT max(t_us) AS c FROM s_cmd) b"""})
+def block_intervals_stream(spark, sf):
+    ended = _block_stream(spark, sf, True).filter("released").drop("released")
+    return rounded(ended.select("ip", "block_us", "unblock_us", "reason", "confidence", "event_id"), {"confidence"})
+
+
 _ALT = ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient")
 _ALT_NAMES = ("fwd_pkts_tot", "bwd_pkts_tot", "fwd_data_pkts_tot", "bwd_data_pkts_tot")
 

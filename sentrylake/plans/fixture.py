@@ -168,6 +168,19 @@ def write_chunk(spark: SparkSession, sf_dir: str, path: str, number: int, chunks
     return path
 
 
+#: Extent of the times of all events, and the rows that ``write_rows_chunk`` lets come too late.
+START_US, SPAN_US = 1704067200000000, 520_000_000
+LATE = "event_id % 50 = 7"
+
+
+def write_rows_chunk(rows: DataFrame, path: str, number: int, chunks: int = 3) -> str:
+    """One of several Parquet chunks by ``t_us``; of the first one, ``LATE`` rows come with the last, after any watermark."""
+    place = F.least(F.greatest(F.floor((F.col("t_us") - START_US) / (SPAN_US / chunks)), F.lit(0)), F.lit(chunks - 1))
+    place = F.when((place == 0) & F.expr(LATE), F.lit(chunks - 1)).otherwise(place)
+    rows.filter(place == number).write.mode("append").parquet(path)
+    return path
+
+
 def write_chunks(spark: SparkSession, sf_dir: str, path: str, chunks: int = 3) -> str:
     for i in range(chunks):
         write_chunk(spark, sf_dir, path, i, chunks)
