@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrylake.llm import jaccard, mixing, nbsvm, packing, toxicity
+from sentrylake.llm import mixing, nbsvm, packing, simhash, toxicity
 from sentrylake.llm.common import stored
 
 
@@ -21,8 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group linked by SimHash or by 5-word Jaccard similarity of 0.8 or more."""
-    return jaccard.keep_first(docs)
+    """The document of smallest id of each group linked by SimHash, with the shingles and bits of ``op10_simhash``."""
+    return simhash.keep_first(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
