@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions.flow import flow_feature_columns
 from ..params import DEFAULTS, Params
 from ..schema import FLOW_FEATURES
-from .scan import asof_last, materialise, slice_of
+from .scan import asof_last, extent_of, materialise, slice_of
 
 _COUNTERS = ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient")
 RAW_FLOW = _RAW = ("start_us", "end_us", *_COUNTERS)
@@ -53,7 +53,8 @@ def asof_flow_features(
         id_col, "t_us", "_k.prio", "_k.key"
     )
     found = asof_last(
-        asked, keyed_flows, ["key"], "t_us", _RAW, tie="_flow_id", slice_us=params.slice_us
+        asked, keyed_flows, ["key"], "t_us", _RAW, tie="_flow_id", slice_us=params.slice_us,
+        extent=extent_of((alerts, "t_us"), (flows, "t_us")),
     ).filter(F.col("t_us") - F.col("_entry_t") <= params.flow_ttl_us)
     values = {"t_us": F.col("_entry_t")} | {c: F.col(c) for c in _RAW}
     best = (

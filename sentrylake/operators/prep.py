@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text, times
 from ..schema import CATEGORY_FEATURES
-from .scan import dense_codes, materialise, slice_of, take_by_hash
+from .scan import materialise, range_codes, take_by_hash
 
 
 def fit_minmax(train: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -43,15 +43,13 @@ def drop_constant_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in features or c in keep])
 
 
-def category_codes(df: DataFrame, column: str, missing: str, first_seen: Sequence[str] | None = None,
-                   slice_width: int = 3_600_000_000) -> DataFrame:
+def category_codes(df: DataFrame, column: str, missing: str, first_seen: Sequence[str] | None = None) -> DataFrame:
     """Dictionary ``value, code``: alphabetical, or by first appearance in ``first_seen`` order."""
     v = F.coalesce(F.col(column), F.lit(missing)).alias("value")
     if first_seen is None:
-        values = df.select(v).distinct()
-        return dense_codes(values, "value", F.substring("value", 1, 2), "code")
+        return range_codes(df.select(v).distinct(), "value", "code")
     first = df.select(v, F.struct(*first_seen).alias("_at")).groupBy("value").agg(F.min("_at").alias("_at"))
-    return dense_codes(first, "_at", slice_of(F.col(f"_at.{first_seen[0]}"), slice_width), "code").select("value", "code")
+    return range_codes(first, "_at", "code").select("value", "code")
 
 
 def encode(df: DataFrame, column: str, missing: str, codes: DataFrame, out: str) -> DataFrame:

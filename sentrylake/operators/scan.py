@@ -2,8 +2,9 @@
 
 All of them follow one pattern.  A key's time line is cut into slices; a window runs inside
 each ``(key, slice)``; one summary row per slice carries the state of the earlier slices in.
-A hot key is therefore spread over as many tasks as it has slices, and the only window that
-sees a whole key runs over its summary rows.  Rows are reduced to distinct ``(key, time)``
+A hot key is therefore spread over as many tasks as it has slices.  The summary rows are added up
+in a tree of blocks of ``FAN`` slices, blocks of blocks and so on, so no window sees a whole key,
+however long its time line is.  Rows are reduced to distinct ``(key, time)``
 pairs before the shuffle, since every answer depends on those alone; this also bounds a slice
 by the number of microseconds in it.
 """
@@ -14,6 +15,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,56 @@ def slice_of(t, width: int) -> Column:
     return F.call_function("div", t - F.pmod(t, width), width)
 
 
+FAN = 1 << 14  # children of a node in the tree of slice totals
+
+
+def extent_of(*columns: tuple[DataFrame, str]) -> tuple[int, int]:
+    """Least and greatest value of 64-bit columns; (0, 0) where there is none."""
+    both = reduce(DataFrame.union, [df.select(F.col(c).cast("bigint").alias("x")) for df, c in columns])
+    low, high = both.agg(F.min("x"), F.max("x")).first()
+    return (0, 0) if low is None else (low, high)
+
+
+def _carried(totals: DataFrame, keys: list[str], at: str, sums: Sequence[str], lasts: Sequence[str],
+             extent: tuple[int, int], fan: int) -> DataFrame:
+    """What the slices before each slice add up to: ``keys, at`` with ``_c_`` columns, from ``_s_`` and ``_l_`` totals.
+
+    An up-sweep adds totals up by blocks of ``fan`` neighbours until one block holds all of
+    ``extent``; a down-sweep joins what comes before a block to what comes before a child within it.
+    """
+    low, high = extent
+    levels = 1
+    while fan**levels <= high - low:
+        levels += 1
+    tree = [totals.withColumn("_n", F.col(at) - F.lit(low).cast("bigint"))]
+    for _ in range(1, levels):
+        tree.append(tree[-1].groupBy(*keys, slice_of("_n", fan).alias("_n")).agg(
+            *[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in sums],
+            *[F.max_by(F.col(f"_l_{c}"), F.when(F.col(f"_l_{c}").isNotNull(), F.col("_n"))).alias(f"_l_{c}") for c in lasts],
+        ))
+    above = None
+    for level in reversed(tree):
+        block = slice_of("_n", fan).alias("_b")
+        before = W.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
+        own = [at] if at in level.columns else []
+        inside = level.withColumn("_b", block).select(
+            *keys, *own, "_n", "_b",
+            *[F.sum(f"_s_{c}").over(before).alias(f"_c_{c}") for c in sums],
+            *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in lasts],
+        )
+        if above is not None:
+            names = [*keys, "_n", *[f"_c_{c}" for c in (*sums, *lasts)]]
+            up = above.select(*[F.col(c).alias(f"_u{c}") for c in names])
+            same = [F.col(c) == F.col(f"_u{c}") for c in keys] + [F.col("_b") == F.col("_u_n")]
+            total = lambda c: F.when(F.col(f"_c_{c}").isNull(), F.col(f"_u_c_{c}")).otherwise(F.col(f"_c_{c}") + F.coalesce(f"_u_c_{c}", F.lit(0)))
+            inside = inside.join(up, same).select(
+                *keys, *own, "_n", "_b", *[total(c).alias(f"_c_{c}") for c in sums],
+                *[F.coalesce(f"_c_{c}", f"_u_c_{c}").alias(f"_c_{c}") for c in lasts],
+            )
+        above = inside
+    return above.drop("_n", "_b")
+
+
 def sliced_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -63,12 +115,15 @@ def sliced_scan(
     order: Sequence[str],
     sums: Sequence[str] = (),
     lasts: Sequence[str] = (),
+    extent: tuple[int, int] | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Running sums (rows with equal order included) and last non-null values per key.
 
     Each column named in ``sums`` or ``lasts`` is replaced by its running value over all rows of
     the key up to and including the current one.  ``keys`` must not be NULL and the slice must
-    not decrease along ``order``.
+    not decrease along ``order``.  ``extent`` is the
+    least and the greatest slice, looked up where it is not given.
     """
     keys = list(keys)
     local = W.partitionBy(*keys, slice_col).orderBy(*order)
@@ -77,15 +132,12 @@ def sliced_scan(
         *[F.sum(c).alias(f"_s_{c}") for c in sums],
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), first)).alias(f"_l_{c}") for c in lasts],
     )
-    before = W.partitionBy(*keys).orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
     # Renamed keys keep the two sides of the join free of common attributes.  Spark then leaves
     # both copies of ``df`` alike and shuffles it once (ReusedExchange).
     on = [*keys, slice_col]
-    carried = totals.select(
-        *[F.col(c).alias(f"_k_{c}") for c in on],
-        *[F.sum(f"_s_{c}").over(before).alias(f"_c_{c}") for c in sums],
-        *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in lasts],
-    )
+    extent = extent or extent_of((df, slice_col))
+    carried = _carried(totals, keys, slice_col, sums, lasts, extent, fan)
+    carried = carried.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[f"_c_{c}" for c in (*sums, *lasts)])
     scanned = df.select(
         *[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in df.columns if c not in sums and c not in lasts],
         *[F.sum(c).over(local).alias(c) for c in sums],
@@ -140,7 +192,9 @@ def window_counts(
         .select(key, "_d.*")
         .withColumn("_slice", slice_of(t, slice_us))
     )
-    return sliced_scan(deltas, [key], "_slice", [t], sums=outs).filter("_real").select(key, t, *outs)
+    low, high = extent_of((events, t))
+    extent = (low // slice_us, (high + 1 + max(w for _, w in frames.values())) // slice_us)
+    return sliced_scan(deltas, [key], "_slice", [t], sums=outs, extent=extent).filter("_real").select(key, t, *outs)
 
 
 def asof_last(
@@ -151,12 +205,14 @@ def asof_last(
     payload: Sequence[str],
     tie: str | None = None,
     slice_us: int = 10_000_000,
+    extent: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Latest entry at or before each distinct requested ``(keys, t)``.
 
     Gives ``keys, t, _entry_t`` and the ``payload`` columns (NULL where there is no entry).
     Entries of one key and time are reduced to the one with the greatest ``tie``, a unique
-    column that is needed when there is a payload.
+    column that is needed when there is a payload.  ``extent`` holds the least and the greatest
+    ``t`` of both, looked up where it is not given.
     """
     keys = list(keys)
     # column by column, so that Spark can aggregate by hash (a struct would need a sort)
@@ -170,7 +226,8 @@ def asof_last(
         .unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
         .withColumn("_slice", slice_of(t, slice_us))
     )
-    found = sliced_scan(both, keys, "_slice", [t, "_side"], lasts=["_entry"])
+    low, high = extent or extent_of((requests, t), (entries, t))
+    found = sliced_scan(both, keys, "_slice", [t, "_side"], lasts=["_entry"], extent=(low // slice_us, high // slice_us))
     return found.filter("_side = 1").select(*keys, t, "_entry.*")
 
 
@@ -182,16 +239,38 @@ def chained_gap(
 ) -> DataFrame:
     """Stamps kept when the first is kept and each next one lies ``gap_us`` after the last kept.
 
-    Chains are followed by pointer doubling over joins, for keys of every size; no key is held in
-    one task.  Keys must not be NULL.
+    A stamp is surely kept if it comes ``gap_us`` or more after the stamp before it, so every key is
+    cut into islands there; those shorter than a gap are done.  Inside the others chains are followed by
+    pointer doubling over joins, in as many levels as the longest island needs.  No key or
+    island is held in one task.  Keys must not be NULL.
     """
     keys = list(keys)
     distinct = stamps.select(*keys, t).distinct()
-    lows = distinct.groupBy(*keys).agg(F.min(t).alias("_lo")).withColumnsRenamed({c: f"_k_{c}" for c in keys})
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
-    placed = materialise(distinct.join(lows, same).select(*keys, t, "_lo"))
-    span = placed.agg(F.max(F.col(t) - F.col("_lo"))).first()[0]
-    return _follow(placed, keys, t, gap_us, span or 0)
+    placed = materialise(distinct.withColumn("_chunk", slice_of(t, gap_us)))
+    # Of the stamps of a chunk, one gap long, only the first can begin an island.
+    chunks = placed.groupBy(*keys, "_chunk").agg(F.min(t).alias("_from"), F.max(t).alias("_to"))
+    before = placed.groupBy(*keys, "_chunk").agg(F.max(t).alias("_prev"))
+    before = before.select(*[F.col(c).alias(f"_k_{c}") for c in keys], (F.col("_chunk") + 1).alias("_next"), "_prev")
+    same = [F.col(c) == F.col(f"_k_{c}") for c in keys] + [F.col("_chunk") == F.col("_next")]
+    begins = F.col("_prev").isNull() | (F.col("_from") - F.col("_prev") >= gap_us)
+    marked = chunks.join(before, same, "left").select(
+        *keys, "_chunk", "_from", "_to", F.when(begins, F.col("_from")).alias("_island"), slice_of("_chunk", CHUNKS).alias("_slice"))
+    low, high = extent_of((placed, "_chunk"))
+    extent = (low // CHUNKS, high // CHUNKS)
+    marked = materialise(sliced_scan(marked, keys, "_slice", ["_chunk"], lasts=["_island"], extent=extent).drop("_slice"))
+    first = marked.filter("_from = _island").select(*keys, F.col("_island").alias(t))
+    ends = marked.groupBy(*keys, "_island").agg(F.max("_to").alias("_end")).filter(F.col("_end") - F.col("_island") >= gap_us)
+    ends = materialise(ends)
+    span = ends.agg(F.max(F.col("_end") - F.col("_island"))).first()[0]
+    if span is None:  # nothing is left to follow
+        return first
+    inside = marked.select(*keys, "_chunk", "_island").join(ends.select(*keys, "_island"), [*keys, "_island"], "left_semi")
+    rows = materialise(placed.join(inside, [*keys, "_chunk"]).select(*keys, "_island", t, F.col("_island").alias("_lo")))
+    kept = _follow(rows, [*keys, "_island"], t, gap_us, span)
+    return first.unionByName(kept.filter(F.col(t) > F.col("_island")).select(*keys, t))
+
+
+CHUNKS = 1 << 12  # chunks of a gap to a slice
 
 
 def _follow(large: DataFrame, keys: list[str], t: str, gap_us: int, span_us: int) -> DataFrame:
@@ -207,7 +286,7 @@ def _follow(large: DataFrame, keys: list[str], t: str, gap_us: int, span_us: int
     # next stamp at or after x + gap: an as-of lookup on the reversed time line
     reverse = rel.select(*keys, (-F.col("_x")).alias("_r"))
     ask = rel.select(*keys, (-(F.col("_x") + gap_us)).alias("_r"))
-    nxt = asof_last(ask, reverse, keys, "_r", [], slice_us=max(gap_us, 10_000_000)).select(
+    nxt = asof_last(ask, reverse, keys, "_r", [], slice_us=max(gap_us, 10_000_000), extent=(-span_us - gap_us, 0)).select(
         *keys, (-F.col("_r") - gap_us).alias("_x"), (-F.col("_entry_t")).alias("_y")
     )
     levels = [materialise(nxt)]
@@ -274,14 +353,15 @@ def rolling_mean(df: DataFrame, key: str, order: Sequence[str], value: str, rows
 def fill_both_ways(df: DataFrame, key: str, row: str, value: str, out: str, slice_rows: int = 100_000) -> DataFrame:
     """Last non-null value up to the row, else the first one after it, per key in ``row`` order; NULL for a NULL key or row."""
     known = df.filter(F.col(key).isNotNull() & F.col(row).isNotNull())
+    low, high = (x // slice_rows for x in extent_of((known, row)))
     forward = sliced_scan(
         known.select(key, row, F.col(value).alias("_f"), slice_of(row, slice_rows).alias("_slice")),
-        [key], "_slice", [row], lasts=["_f"],
+        [key], "_slice", [row], lasts=["_f"], extent=(low, high),
     ).drop("_slice")
     back = sliced_scan(
         known.select(key, (-F.col(row)).alias("_r"), F.col(value).alias("_g"),
                   slice_of(-F.col(row), slice_rows).alias("_slice")),
-        [key], "_slice", ["_r"], lasts=["_g"],
+        [key], "_slice", ["_r"], lasts=["_g"], extent=(-high - 1, -low),
     ).select(key, (-F.col("_r")).alias(row), "_g")
     filled = forward.join(back, [key, row]).select(
         F.col(key).alias("_fk"), F.col(row).alias("_fr"), F.coalesce("_f", "_g").alias(out)
@@ -289,18 +369,22 @@ def fill_both_ways(df: DataFrame, key: str, row: str, value: str, out: str, slic
     return df.join(filled, (F.col(key) == F.col("_fk")) & (F.col(row) == F.col("_fr")), "left").drop("_fk", "_fr")
 
 
-def dense_codes(values: DataFrame, order: str, slice_expr: Column, out: str) -> DataFrame:
-    """Codes 0.. for distinct rows in ``order``; slices must follow the order."""
-    sliced = values.withColumn("_slice", slice_expr).withColumn("_all", F.lit(0))
-    counts = sliced.groupBy("_all", "_slice").agg(F.count("*").alias("_c"))
-    before = W.partitionBy("_all").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"))
-    local = F.row_number().over(W.partitionBy("_slice").orderBy(order)) - 1
-    return (
-        sliced.withColumn("_p", local)
-        .join(counts, "_slice")
-        .select(*values.columns, (F.col("_p") + F.col("_c")).cast("int").alias(out))
-    )
+def range_codes(values: DataFrame, order: str, out: str) -> DataFrame:
+    """Codes 0.. for distinct rows in ``order``.
+
+    A sampled range partitioning sorts them in even pieces, however alike they begin; a row's code is its
+    place in its piece plus the counts of the pieces before, of which there are as many as tasks.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = materialise(values).repartitionByRange(parts, order).sortWithinPartitions(order)
+    # Spark numbers rows by (piece, place within it); the written table fixes both
+    placed = materialise(pieces.withColumn("_m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_piece", F.expr("shiftright(_m, 33)")).withColumn("_p", F.expr("_m & ((1L << 33) - 1)"))
+    counts = placed.groupBy("_piece").agg(F.count("*").alias("_c"))
+    before = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)  # one row per piece
+    starts = counts.select(F.col("_piece").alias("_of"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    coded = placed.join(starts, F.col("_piece") == F.col("_of"))
+    return coded.select(*values.columns, (F.col("_p") + F.col("_start")).cast("int").alias(out))
 
 
 def exact_quantiles(long: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],

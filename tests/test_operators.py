@@ -364,6 +364,6 @@ def test_columns(spark):
 def test_encode_order(spark):
     rows = [(3, 30, "b"), (1, 10, "z"), (2, 20, "b"), (4, 5, None)]
     df = spark.createDataFrame(rows, "event_id long, t_us long, category string")
-    codes = {r.value: r.code for r in prep.category_codes(df, "category", "Unknown", ("t_us", "event_id"), 7).collect()}
+    codes = {r.value: r.code for r in prep.category_codes(df, "category", "Unknown", ("t_us", "event_id")).collect()}
     assert codes == {"Unknown": 0, "z": 1, "b": 2}
     assert {r.value: r.code for r in prep.category_codes(df, "category", "na").collect()} == {"b": 0, "na": 1, "z": 2}

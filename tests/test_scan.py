@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -102,6 +103,49 @@ def test_chained_gap_of_nothing(spark):
     assert S.chained_gap(frame(spark, []), ["k"], "t", 10).count() == 0
 
 
+@pytest.mark.parametrize("fan,extent,far", [(4, None, 30), (16, (-5000, 30), 30), (S.FAN, None, 1 << 40)])
+def test_tree_of_slice_totals(spark, fan, extent, far):
+    """Three levels, numbers below 0, slices without rows, keys of one slice."""
+    rnd = random.Random(fan)
+    rows = [(rnd.choice(["hot", "hot", "a", "b"]), rnd.randrange(-far, far), i, rnd.choice([None, i]))
+            for i in range(400)] + [("one", 0, 999, 5)]
+    df = spark.createDataFrame(rows, "k string, s long, n long, v long")
+    scanned = S.sliced_scan(df.withColumn("m", F.col("n")), ["k"], "s", ["s", "n"], sums=["m"], lasts=["v"], extent=extent, fan=fan)
+    got = {r.n: (r.m, r.v) for r in scanned.collect()}
+    for k in {r[0] for r in rows}:
+        total, last = 0, None
+        for _, _, n, v in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            total, last = total + n, v if v is not None else last
+            assert got[n] == (total, last)
+
+
+def windows_of(df):
+    """Partition keys of every window in the plan."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return [re.findall(r"(\w+)#\d+", w) for w in re.findall(r"^.*?Window \[.*?\], \[(.*?)\], \[", text, re.M)]
+
+
+def test_no_window_sees_a_whole_key(spark):
+    df = frame(spark, [*stamps(9, 50, 0.5, 10 * SEC), ("hot", 99, 10 * 365 * 86400 * SEC, True)])  # ten years on
+    counts = S.window_counts(df, "k", "t", {"all": F.lit(True)}, {"n": ("all", SEC)})
+    found = S.asof_last(df.filter("not x"), df.filter("x"), ["k"], "t", ["id"], tie="id")
+    filled = S.fill_both_ways(df.withColumn("v", F.col("id")), "k", "id", "v", "out")
+    for plan, least in ((counts, 3), (found, 3), (filled, 4)):
+        seen = windows_of(plan)
+        assert len(seen) >= least and all({"_slice", "_b"} & set(w) for w in seen)
+
+
+@pytest.mark.parametrize("gap,levels", [(SEC, 9), (50 * SEC, 3), (400 * SEC, 0)])
+def test_tables_of_a_chain_follow_its_longest_island(spark, monkeypatch, gap, levels):
+    """One island as long as the table beside many short ones."""
+    rows = [("hot", i, i * SEC // 2, True) for i in range(600)] + [("a", i, i * 600 * SEC, True) for i in range(50)]
+    rows += [("a", 700 + i, i * 600 * SEC + 7, True) for i in range(50)] + [("b", 900, -5 * SEC, True), ("b", 901, -4 * SEC, True)]
+    written, write = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df: (written.append(1), write(df))[1])
+    got = {(r.k, r.t) for r in S.chained_gap(frame(spark, rows), ["k"], "t", gap).collect()}
+    assert got == kept(rows, gap) and len(written) == (5 + 2 * levels if levels else 3)
+
+
 @pytest.mark.parametrize("block", [100_000, 25])
 def test_rolling_mean(spark, block):
     rows = stamps(7, 400, 0.8, 30 * SEC, SEC)
@@ -162,11 +206,24 @@ def test_take_by_hash_same_bin(spark):
     assert {r.id for r in rows if r._taken} == {*range(45), *range(90, 95)}
 
 
-def test_dense_codes(spark):
+def test_range_codes(spark):
     words = ["b", "", "aa", "ab", "a", "zebra", "ä"]
     df = spark.createDataFrame([(w,) for w in words], "value string")
-    got = {r.value: r.code for r in S.dense_codes(df, "value", F.substring("value", 1, 2), "code").collect()}
+    got = {r.value: r.code for r in S.range_codes(df, "value", "code").collect()}
     assert got == {w: i for i, w in enumerate(sorted(words, key=lambda w: w.encode()))}
+    assert S.range_codes(df.limit(0), "value", "code").count() == 0
+
+
+def test_range_codes_of_values_that_begin_alike(spark, monkeypatch):
+    written, write = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df: (written.append(write(df)), written[-1])[1])
+    df = spark.range(100_000).selectExpr("format_string('ET POLICY %d', id * 7919 % 100003) AS value")
+    codes = S.range_codes(df, "value", "code")
+    wanted = {v: i for i, v in enumerate(sorted(r.value for r in df.collect()))}
+    assert {r.value: r.code for r in codes.collect()} == wanted
+    pieces = [r["count"] for r in written[-1].groupBy(F.expr("shiftright(_m, 33)")).count().collect()]
+    assert len(pieces) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(pieces) < 100_000 / len(pieces) * 1.5
+    assert all("_piece" in w or not w for w in windows_of(codes))
 
 
 def test_slice_of_negative(spark):
