@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,16 +93,47 @@ def test_dedup_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
 
 
+def plain_rates(rows, size, stride):
+    out: dict = {}
+    for t, ip, kind in rows:
+        for w in range(t // stride * stride, t - size, -stride):
+            n = out.setdefault((w, ip), [0, 0])
+            n[kind == "alert"] += 1
+    return [(w, ip, *n) for (w, ip), n in out.items()]
+
+
+@pytest.mark.parametrize("length,step,size,stride", [
+    ("10 seconds", "1 second", 10, 1), ("10 seconds", "4 seconds", 10, 4), ("5 seconds", "5 seconds", 5, 5), ("3 minutes", "1 minute", 180, 60)])
+def test_windowed_rates_by_hand(spark, length, step, size, stride):
+    rnd = random.Random(size)
+    us = 1_000_000
+    rows = [(rnd.randrange(-200 * us, 900 * us), rnd.choice(["hot", "hot", "b", None]), rnd.choice(["flow", "alert", "dns"])) for _ in range(700)]
+    rows += [(0, "edge", "flow"), (60 * us, "edge", "flow"), (60 * us - 1, "edge", "alert")]
+    df = spark.createDataFrame([*rows, (None, "x", "flow")], "t_us long, src_ip string, event_type string")
+    got = sorted(map(tuple, rates.windowed_source_rates(df, length, step).collect()), key=str)
+    assert got == sorted(plain_rates([r for r in rows if r[2] != "dns"], size * us, stride * us), key=str)
+
+
+def test_windowed_rates_shuffle_panes(spark, sf):
+    """Before the first exchange an event stays one row; after it a pane is in two blocks at the most."""
+    plan = rates.windowed_source_rates(fixture.events(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    expand = re.findall(r"Expand \[(.*)\], \[", plan)
+    assert len(expand) == 1 and expand[0].count("], [") + 1 == 2
+    assert plan.index("Expand") < plan.index("window", plan.index("Exchange hashpartitioning", plan.index("Expand")))
+
+
 def test_windowed_rates_stream(spark, sf, tmp_path):
-    landing = str(tmp_path / "in")
-    chunk(spark, sf, landing, 0, 260)
-    chunk(spark, sf, landing, 260, 520)
-    name = f"rates_{uuid.uuid4().hex}"
-    counts = rates.windowed_source_rates(follow.follow_events(spark, landing))
-    follow.drain(counts.writeStream.format("memory").queryName(name).outputMode("complete")
-                 .option("checkpointLocation", str(tmp_path / "state")))
-    batch = rates.windowed_source_rates(fixture.events(spark, sf))
-    assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, batch.collect()))
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for first, last in ((0, 200), (200, 210), (210, 520)):
+        chunk(spark, sf, landing, first, last)
+        counts = rates.windowed_source_rates(follow.follow_events(spark, landing))
+        follow.drain(counts.writeStream.format("parquet").option("path", out).outputMode("append")
+                     .option("checkpointLocation", str(tmp_path / "state")))
+    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    batch = sorted(map(tuple, rates.windowed_source_rates(fixture.events(spark, sf)).collect()))
+    final = (START // 1_000_000 + 420) * 1_000_000  # whole blocks that the watermark has passed
+    assert [r for r in got if r[0] < final] == [r for r in batch if r[0] < final] and len(got) > 100
+    assert set(got) <= set(batch)
 
 
 def test_eval_stream(spark, sf, tmp_path):
