@@ -71,6 +71,59 @@ def test_csv_files_with_different_column_orders(spark, tmp_path):
     assert got == {("1", "2", "x,y,z"), ("3", "4", "q,r,s"), ("7", "8", "")}
 
 
+ODD_LINES = [
+    'a;b;c', '1;"two', 'lines";x', '', '2;"one";y', '3;"a', '', '";"b', 'c"', '4;5" disk;z', '5;"esc \\" aped;', 'on";w', '6;"x";"y;', ';z"',
+    '7;"ends', 'here"', '8;9;0;too;many', '9;plain;end',
+]
+
+
+def plain_records(text):
+    """One character after the other; a quote opens at the begin of a field only."""
+    rows, field, row, quoted, at = [], "", [], False, 0
+    while at < len(text):
+        c = text[at]
+        if quoted and c == "\\" and at + 1 < len(text):
+            at += 1
+            field += text[at] if text[at] == '"' else "\\" + text[at]
+        elif c == '"' and (quoted or field == ""):
+            quoted = not quoted
+        elif c in ";\n" and not quoted:
+            row.append(field)
+            field = ""
+            if c == "\n":
+                rows, row = [*rows, row], []
+        else:
+            field += c
+        at += 1
+    return [tuple((r + [""] * 3)[:3]) for r in rows[1:] if len(r) <= 3 and r != [""]]
+
+
+def small_splits(spark, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    return before
+
+
+@pytest.mark.parametrize("split", [1 << 27, 64])
+def test_quoted_line_breaks(spark, tmp_path, split):
+    (tmp_path / "t").mkdir()
+    text = "\n".join([*ODD_LINES, *ODD_LINES[1:] * 20]) + "\n"
+    (tmp_path / "t" / "a.csv").write_text(text)
+    (tmp_path / "t" / "b.csv").write_text("c;a\n\"p\nq\";r\n")
+    before = small_splits(spark, split)
+    try:
+        rows = flow_csv.read_flow_csv(spark, str(tmp_path / "t"), ";").select("a", "b", "c").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, rows)) == sorted([*plain_records(text), ("r", "", "p\nq")])
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('a;b\n1;"x\ny"\n2;"open\n3;z\n')
+    rows = {tuple(r) for r in flow_csv.read_flow_csv(spark, str(tmp_path / "f.csv"), ";").collect()}
+    assert {("1", "x\ny"), ("3", "z")} <= rows and len(rows) == 3
+
+
 def test_empty_csv(spark, tmp_path):
     (tmp_path / "f.csv").write_text("")
     with pytest.raises(ValueError):
