@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import stored, texts
 from .shelves import missing, numbers, visit
 
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 16_384
 BUCKET_BYTES = 1 << 26  # of text to a bucket of pairs
 MOST_BUCKETS = 1024
 GROUPS = 8  # first level of the tree of sums
 PART = 1 << 22
-CACHE_SEGMENTS = 300_000
+GATHER, WINDOW = 1 << 25, 1 << 23  # bytes of text whose distinct segments are learnt together, in the first and second pass
 TOGETHER = 4096
 SPACED = re.compile(rb" ( *[^ ]*)")
 
@@ -71,11 +73,21 @@ def segments(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-class Aligner(dict):
-    """Segment to (n_a with n_b and n_groups, groups as text, links), numbers as 64-bit bytes; None where its tokens do not give back its bytes."""
+@dataclass
+class Learned:
+    """What is known of distinct segments, by their position; ``of`` has the segment of each link."""
+
+    good: np.ndarray  # tokens give back the bytes
+    sizes: np.ndarray  # n_a, n_b, n_groups
+    links: np.ndarray
+    of: np.ndarray
+    groups: list[bytes]
+
+
+class Aligner:
+    """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
-        super().__init__()
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -93,70 +105,76 @@ class Aligner(dict):
         self.long_a = np.array([len(b) for b in self.bytes_a])
         self.long_b = np.array([len(b) for b in self.bytes_b])
         self.space = self.b.piece_to_id("▁")
+        # an id with what follows it in the text of groups: the next id, the other side, the next group, the next segment
+        self.most = max(len(self.bytes_a), len(self.bytes_b))
+        self.words = [b"%d%c" % (i, c) for c in b",|;\n" for i in range(self.most)]
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both for space + ``text``."""
         a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
         return np.array(a, np.int64), np.array(self.b.encode(text) if text else [self.space], np.int64)
 
-    def aligned(self, text: str, bounds: np.ndarray) -> list[tuple] | None:
-        """Entries of the segments that end at ``bounds`` (bytes of space + text); None where bytes differ."""
+    def aligned(self, text: str, bounds: np.ndarray, with_groups: bool) -> Learned | None:
+        """The segments that end at ``bounds`` (bytes of space + text); None where bytes differ."""
         data = b" " + text.encode("utf-8")
         a, b = self.tokens(text)
-        if b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != data:
             return None
         end_a, end_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        at_a, at_b = np.searchsorted(end_a, both), np.searchsorted(end_b, both)
-        links = a[at_a] << 32 | b[at_b]
-        text_a, text_b = [str(i) for i in a], [str(i) for i in b]
-        groups, last_a, last_b = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(f"{','.join(text_a[last_a:x])}|{','.join(text_b[last_b:y])}")
-            last_a, last_b = x, y
-        stop = np.searchsorted(both, bounds, side="right").tolist()
-        if bounds[-1] != len(data) or not np.isin(bounds, both).all():
+        at_b = np.minimum(np.searchsorted(end_b, end_a), len(b) - 1)
+        at_a = np.flatnonzero(end_b[at_b] == end_a)  # A tokens that end a group
+        at_b, both = at_b[at_a], end_a[at_a]
+        last = np.minimum(np.searchsorted(both, bounds), len(both) - 1)
+        if (both[last] != bounds).any():
             return None
-        count_a = np.diff(np.searchsorted(end_a, bounds, side="right"), prepend=0).tolist()
-        count_b = np.diff(np.searchsorted(end_b, bounds, side="right"), prepend=0).tolist()
-        return [
-            (np.array([n, m, z - s], np.int64).tobytes(), ";".join(groups[s:z]).encode(), links[s:z].tobytes())
-            for n, m, s, z in zip(count_a, count_b, [0, *stop], stop)]
-
-    def single(self, segment: bytes) -> tuple | None:
-        try:
-            text = segment.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-        found = self.aligned(text, np.array([1 + len(segment)]))
-        return found[0] if found else None
-
-    def learn(self, wanted: set[bytes]) -> None:
-        """Every segment of ``wanted`` is known afterwards."""
-        new = {s for s in wanted if s not in self}
-        if len(self) + len(new) > CACHE_SEGMENTS:
-            self.clear()
-            new = wanted
-        # spaces at an end would run into the next segment
-        joined = [s for s in new if s and not s.endswith(b" ") and len(s) < 256]
-        for at in range(0, len(joined), TOGETHER):
-            some = joined[at : at + TOGETHER]
-            found = None
+        n = len(bounds)
+        of = np.searchsorted(bounds, both)
+        sizes = np.stack([np.bincount(x, minlength=n) for x in (np.searchsorted(bounds, end_a), np.searchsorted(bounds, end_b), of)], axis=1)
+        groups = []
+        if with_groups:
+            count_a, count_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+            word = np.empty(len(a) + len(b), np.int64)
+            # the A ids of a group stand before its B ids
+            word[np.arange(len(a)) + np.repeat(np.cumsum(count_b) - count_b, count_a)] = a
+            word[np.arange(len(b)) + np.repeat(np.cumsum(count_a), count_b)] = b
+            ends = np.cumsum(count_a + count_b) - 1
+            word[ends - count_b] += self.most
+            word[ends] += 2 * self.most
+            word[ends[last]] += self.most
+            groups = b"".join(map(self.words.__getitem__, word.tolist())).split(b"\n")[:-1]
+        return Learned(np.ones(n, bool), sizes, a[at_a] << 32 | b[at_b], of, groups)
+
+    def learn(self, segments: list[bytes], with_groups: bool = True) -> Learned:
+        """Distinct ``segments``, many of them tokenised as one text."""
+        n = len(segments)
+        good, sizes, links, of, groups = np.zeros(n, bool), np.zeros((n, 3), np.int64), [], [], [b""] * n
+
+        def put(at: list[int]) -> bool:
+            some = [segments[i] for i in at]
             try:
-                found = self.aligned(b" ".join(some).decode("utf-8"), np.cumsum([len(s) + 1 for s in some]))
+                found = self.aligned(b" ".join(some).decode("utf-8"), np.cumsum([len(s) + 1 for s in some]), with_groups)
             except UnicodeDecodeError:
-                pass
-            self.update(zip(some, found if found is not None else map(self.single, some)))
-        for s in new:
-            if s not in self:
-                self[s] = self.single(s)
+                return False
+            if found is None:
+                return False
+            place = np.array(at)
+            good[place], sizes[place] = True, found.sizes
+            links.append(found.links)
+            of.append(place[found.of])
+            for i, g in zip(at, found.groups):
+                groups[i] = g
+            return True
 
-    def of(self, part: list[bytes]) -> list[tuple | None]:
-        try:
-            return [self[s] for s in part]
-        except KeyError:
-            self.learn(set(part))
-            return [self[s] for s in part]
+        # spaces at an end would run into the next segment
+        joined = [i for i, s in enumerate(segments) if s and len(s) < 256 and s[-1] != 32]
+        apart = [i for i, s in enumerate(segments) if not (s and len(s) < 256 and s[-1] != 32)]
+        for at in range(0, len(joined), TOGETHER):
+            if not put(joined[at : at + TOGETHER]):
+                apart += joined[at : at + TOGETHER]
+        for i in apart:
+            put([i])
+        none = np.zeros(0, np.int64)
+        return Learned(good, sizes, np.concatenate([none, *links]), np.concatenate([none, *of]), groups)
 
 
 @lru_cache(maxsize=1)
@@ -165,17 +183,35 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def whole(known: Aligner, text: bytes) -> list[list[tuple]] | None:
-    """Entries of a text, part by part; None where it has no tokens."""
-    if not text:
-        return None
-    out = []
-    for part in segments(text):
-        found = known.of(part)
-        if None in found:
-            return None
-        out.append(found)
-    return out
+def windows(items: list[bytes], most: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes together."""
+    at, size = 0, 0
+    for i, text in enumerate(items):
+        size += len(text)
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(items):
+        yield at, len(items)
+
+
+def link_counts(known: Aligner, items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct links of some texts with their counts; texts that have no tokens give none."""
+    count: Counter = Counter()
+    for text in filter(None, items):
+        for part in segments(text):
+            count.update(part)
+    distinct = list(count)
+    found = known.learn(distinct, with_groups=False)
+    if not found.good.all():
+        bad = {s for s, g in zip(distinct, found.good) if not g}
+        for text in filter(None, items):
+            parts = list(segments(text))
+            if any(not bad.isdisjoint(p) for p in parts):
+                for part in parts:
+                    count.subtract(part)
+    weight = np.array([count[s] for s in distinct], np.int64)
+    return summed([(found.links, weight[found.of])])
 
 
 class PerfectHash:
@@ -286,12 +322,23 @@ def align(docs: DataFrame, tokenizers: tuple[str, str] | None = None, chunk_rows
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner(path_a, path_b)
-        now, held = None, []
+        now, held, waiting, size = None, [], [], 0
+
+        def fold() -> None:
+            """Texts that wait become counts."""
+            nonlocal waiting, size, held
+            if waiting:
+                held.append(link_counts(known, waiting))
+                waiting, size = [], 0
+            if len(held) > 16:
+                held = [summed(held)]
 
         def pairs() -> Iterator[pa.RecordBatch]:
+            fold()
             if not held:
                 return
             keys, counts = summed(held)
+            keys, counts = keys[counts > 0], counts[counts > 0]
             bucket = _bucket(keys, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -308,12 +355,10 @@ def align(docs: DataFrame, tokenizers: tuple[str, str] | None = None, chunk_rows
                 if chunk != now:
                     yield from pairs()
                     now, held = chunk, []
-                found = whole(known, text)
-                if found:
-                    links = np.frombuffer(b"".join([e[2] for part in found for e in part]), np.int64)
-                    held.append(np.unique(links, return_counts=True))
-                    if len(held) > 256:
-                        held = [summed(held)]
+                waiting.append(text)
+                size += len(text)
+                if size >= GATHER:
+                    fold()
         yield from pairs()
 
     def unique_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,19 +459,31 @@ def align(docs: DataFrame, tokenizers: tuple[str, str] | None = None, chunk_rows
         known = aligner(path_a, path_b)
         keys, counts = held
         best = counts == best_of[keys & 0xFFFFFFFF]
-        out, digests = [], []
-        for text in texts(part):
-            n = np.zeros(6, np.int64)
-            digest = hashlib.sha256()
-            found = whole(known, text)
-            for k, entries in enumerate(found or []):
-                sizes, groups, links = zip(*entries)
-                n[:3] += np.frombuffer(b"".join(sizes), np.int64).reshape(-1, 3).sum(axis=0)
-                at = np.searchsorted(keys, np.frombuffer(b"".join(links), np.int64))
-                n[3:] += (len(at), best[at].sum(), counts[at].sum())
-                digest.update(b";" * (k > 0) + b";".join(groups))
-            out.append(n)
-            digests.append(digest.hexdigest() if found else "")
+        items, out, digests = texts(part), [], []
+        for low, high in windows(items):
+            parts = [list(segments(t)) if t else [] for t in items[low:high]]
+            distinct = list({s for p in parts for some in p for s in some})
+            place = {s: i for i, s in enumerate(distinct)}
+            found = known.learn(distinct)
+            at = np.minimum(np.searchsorted(keys, found.links), max(0, len(keys) - 1))
+            n = len(distinct)
+            # links of texts without tokens need not be known
+            count = np.where(keys[at] == found.links, counts[at], 0) if len(keys) else np.zeros(len(at), np.int64)
+            top = (count > 0) & best[at] if len(keys) else np.zeros(len(at), bool)
+            per = np.stack([np.bincount(found.of, minlength=n), np.bincount(found.of, top, n), np.bincount(found.of, count, n)], axis=1)
+            per = np.concatenate([found.sizes, per.astype(np.int64)], axis=1)
+            groups = dict(zip(distinct, found.groups))
+            for p in parts:
+                total, digest = np.zeros(6, np.int64), hashlib.sha256()
+                for k, some in enumerate(p):
+                    where = np.fromiter(map(place.__getitem__, some), np.int64, len(some))
+                    if not found.good[where].all():
+                        p = None
+                        break
+                    total += per[where].sum(axis=0)
+                    digest.update(b";" * (k > 0) + b";".join(map(groups.__getitem__, some)))
+                out.append(total if p else np.zeros(6, np.int64))
+                digests.append(digest.hexdigest() if p else "")
         columns = np.array(out, np.int64).reshape(-1, 6).T
         yield pa.RecordBatch.from_arrays(
             [part.column(part.schema.get_field_index("doc_id")), *map(pa.array, columns), pa.array(digests, pa.string())],

@@ -85,16 +85,30 @@ def test_odd_texts(spark):
     assert run(spark, rows, chunk_rows=2) == brute(rows)
 
 
-def test_long_texts_in_parts(spark, monkeypatch):
+def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(X, "PART", 50)
+    known = X.Aligner(PATH_A, PATH_B)
     texts = ["some words " * 40, "x" * 300 + " " + "y " * 100, "a" + " " * 200 + "b", " " * 400, "a" * 60 + " " * 60 + "b" * 60 + " c" * 60]
     for text in [*texts, *filter(None, ODD)]:
-        found = X.whole(X.Aligner(PATH_A, PATH_B), text.encode())
-        (_, n_a, *_, digest), = brute([(1, text)])
-        assert (found is None) == (digest == "")
-        if found is not None:
-            groups = b";".join(e[1] for part in found for e in part)
-            assert hashlib.sha256(groups).hexdigest() == digest and n_a == sum(np.frombuffer(e[0], np.int64)[0] for p in found for e in p)
+        parts = [s for part in X.segments(text.encode()) for s in part]
+        found = known.learn(list(dict.fromkeys(parts)))
+        at = {s: i for i, s in enumerate(dict.fromkeys(parts))}
+        (_, n_a, n_b, *_, digest), = brute([(1, text)])
+        assert found.good.all() == (digest != "")
+        if digest:
+            groups = b";".join(found.groups[at[s]] for s in parts)
+            assert hashlib.sha256(groups).hexdigest() == digest
+            assert sum(found.sizes[at[s]][:2] for s in parts).tolist() == [n_a, n_b]
+
+
+@pytest.mark.parametrize("window", [1 << 23, 100])
+def test_windows_of_texts(window):
+    known = X.Aligner(PATH_A, PATH_B)
+    items = [(t or "").encode() for t in ODD]
+    ranges = list(X.windows(items, window))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(len(items)))
+    keys, counts = X.summed([X.link_counts(known, items[a:b]) for a, b in ranges])
+    assert counts[counts > 0].sum() == sum(r[3] for r in brute(list(enumerate(ODD))))
 
 
 def test_a_third_of_the_rows_alike(spark):
