@@ -38,14 +38,32 @@ class CarryStream:
         raise NotImplementedError
 
     def advance(self) -> None:
-        """Handles whatever has arrived, then stops."""
+        """Handles whatever has arrived, then stops; an ended stream takes no more rows."""
+        if self._ended():
+            raise ValueError(f"the stream at {self.work} has ended")
         drain(self.events.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.work}/offsets"))
 
     def finish(self) -> None:
-        """Ends the stream: rows still waiting for the watermark are final now."""
+        """Ends the stream: rows still waiting for the watermark are final now.  Ending it again changes nothing."""
         last = self._last()
-        if last is not None:
+        if last is not None and not self._ended():
             self._run(last, 1 << 62, "final", self._held("pending", last))
+            end = self.spark.createDataFrame([(last,)], "number long")
+            end.coalesce(1).write.mode("overwrite").parquet(f"{self.work}/ended")
+
+    def _ended(self) -> bool:
+        return self._path(f"{self.work}/ended/_SUCCESS", lambda fs, path: fs.exists(path))
+
+    def _path(self, name: str, act):
+        """``act`` on a path with its file system."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        return act(path.getFileSystem(context._jsc.hadoopConfiguration()), path)
+
+    def _forget(self, number: int) -> None:
+        """State of a micro-batch that no retry can ask for any more."""
+        for kind in ("seen", "mark", "state/pending", *[f"state/{name}" for name in self.held]):
+            self._path(self._at(kind, number), lambda fs, path: fs.delete(path, True))
 
     def result(self) -> DataFrame:
         return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.work}/out")
@@ -90,6 +108,8 @@ class CarryStream:
         self._run(before, upto, number, rows.filter(F.col("t_us") <= upto), since)
         mark = self.spark.createDataFrame([(number, upto)], "number long, upto long")
         mark.coalesce(1).write.mode("overwrite").parquet(self._at("mark", number))
+        if number > 1:
+            self._forget(number - 2)
 
     def _run(self, before: int | None, upto: int, number: int | str, final: DataFrame, since: int | None = None) -> None:
         if since is None:

@@ -93,6 +93,22 @@ def test_dedup_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
 
 
+def test_an_ended_stream_stays_ended_and_old_state_goes(spark, sf, tmp_path):
+    landing, work = str(tmp_path / "in"), str(tmp_path / "work")
+    for a, b in ((0, 100), (100, 200), (200, 300), (300, 520)):
+        chunk(spark, sf, landing, a, b)
+        stream = dedup.DedupStream(spark, landing, work, FIXTURE_PARAMS)
+        stream.advance()
+    kept = {kind: sorted(p.name for p in (tmp_path / "work" / kind).iterdir()) for kind in ("mark", "seen", "state/pending", "state/sent")}
+    assert all(names == ["000000002", "000000003"] for names in kept.values())
+    stream.finish()
+    rows = comparable(stream.result())
+    stream.finish()
+    assert comparable(stream.result()) == rows
+    with pytest.raises(ValueError):
+        dedup.DedupStream(spark, landing, work, FIXTURE_PARAMS).advance()
+
+
 def plain_rates(rows, size, stride):
     out: dict = {}
     for t, ip, kind in rows:
