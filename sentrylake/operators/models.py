@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -145,32 +146,68 @@ def best_threshold(scored: DataFrame, label: str, cost: CostRecord = TRAINING_CO
     ).limit(1)
 
 
+LEARNERS = ("logistic", "boosted")
+
+
+def _learner(kind: str, max_iter: int):
+    common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "maxIter": max_iter, "predictionCol": "_p"}
+    if kind == "logistic":
+        learner = LogisticRegression(regParam=1e-4, family="binomial", **common)
+    elif kind == "boosted":
+        learner = GBTClassifier(maxDepth=4, stepSize=0.2, seed=42, **common)
+    else:
+        raise ValueError(f"learner must be one of {LEARNERS}")
+    return learner.setRawPredictionCol("_raw").setProbabilityCol("_prob")
+
+
 def train_detector(
     train: DataFrame, validation: DataFrame, label: str = "y", features=RUNTIME_FEATURES,
-    cost: CostRecord = TRAINING_COST, max_iter: int = 50,
+    cost: CostRecord = TRAINING_COST, max_iter: int = 50, learner: str = "logistic",
 ) -> tuple[Detector, float]:
-    """Scaler fitted on ``train`` only, cost-weighted logistic model, threshold from ``validation``.
+    """Scaler fitted on ``train`` only, cost-weighted model, threshold from ``validation``.
 
-    A row weighs what a wrong decision about it costs.  Returns the detector and its total
-    reward on the validation rows, which is never below that of a constant decision.
+    The model is logistic or of boosted trees (``max_iter`` of them).  A row weighs what a wrong
+    decision about it costs.  Returns the detector and its total reward on the validation
+    rows, which is never below that of a constant decision.
     """
     scaler = materialise(fit_minmax(train, features))
     weight = F.when(F.col(label) == 1, F.lit(cost.tp - cost.fn)).otherwise(F.lit(cost.tn - cost.fp))
     prepared = materialise(
         apply_minmax(train, scaler, features).withColumns({"_w": weight, "_y": F.col(label).cast("double")})
     )
-    pipeline = Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_x"),
-        LogisticRegression(
-            featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=1e-4,
-            rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_p", family="binomial",
-        ),
-    ])
-    model = pipeline.fit(prepared)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), _learner(learner, max_iter)]).fit(prepared)
     best = best_threshold(_scores(validation, scaler, model, features), label, cost).first()
     return Detector(scaler, model, best["threshold"], tuple(features)), best["total_reward"]
 
 
+def total_reward(df: DataFrame, detector: Detector, label: str = "y", cost: CostRecord = TRAINING_COST) -> float:
+    """Reward of the detector's decisions on labelled rows."""
+    scored = score_detector(df, detector)
+    act, y = F.col("action") == 1, F.col(label) == 1
+    value = F.when(act & y, cost.tp).when(act, cost.fp).when(y, cost.fn).otherwise(cost.tn)
+    return float(scored.agg(F.coalesce(F.sum(value), F.lit(0)).cast("double")).first()[0])
+
+
+def choose_detector(
+    train: DataFrame, validation: DataFrame, choice: DataFrame, label: str = "y", features=RUNTIME_FEATURES,
+    cost: CostRecord = TRAINING_COST, max_iter: dict[str, int] | None = None,
+) -> tuple[Detector, DataFrame]:
+    """The learner with the greatest total reward on ``choice``, rows that neither fit nor threshold has seen.
+
+    Also gives one row per learner: ``learner, validation_reward, choice_reward, chosen``; of
+    equal rewards the simpler learner's is taken.
+    """
+    rounds = {"logistic": 50, "boosted": 20} | (max_iter or {})
+    tried = []
+    for kind in LEARNERS:
+        detector, reward = train_detector(train, validation, label, features, cost, rounds[kind], kind)
+        tried.append((kind, float(reward), total_reward(choice, detector, label, cost), detector))
+    best = max(tried, key=lambda t: t[2])
+    report = [(kind, reward, unseen, kind == best[0]) for kind, reward, unseen, _ in tried]
+    return best[3], train.sparkSession.createDataFrame(
+        report, "learner string, validation_reward double, choice_reward double, chosen boolean")
+
+
 def score_detector(df: DataFrame, detector: Detector) -> DataFrame:
     """Adds the model's ``action`` (0/1) and its fixed confidence (.80 to block, .75 to allow)."""
     scored = _scores(df, detector.scaler, detector.model, detector.features)

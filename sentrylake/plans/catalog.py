@@ -1108,6 +1108,17 @@ def train_attack_classifier_mlp(spark, sf):
     return _report(report)
 
 
+@query("score_attack_type_agreement", "SELECT attack_type, count(*) AS n_rows, TRUE AS useful FROM atk GROUP BY attack_type", _ATTACKS)
+def score_attack_type_agreement(spark, sf):
+    """Useful: predictions agree with labels at least as often as the commonest class would."""
+    rows = _attacks(spark, sf)
+    scored = scan.materialise(M.score_attack_type(rows, M.fit_attack_classifier(rows, trees=100)))
+    counts = scan.materialise(scored.groupBy("attack_type").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("predicted_type") == F.col("attack_type")).alias("right")))
+    useful = counts.agg(F.sum("right") >= F.max("n_rows")).scalar()
+    return counts.select("attack_type", "n_rows", useful.alias("useful"))
+
+
 @query("score_attack_type", "SELECT event_id, attack_type, TRUE AS known FROM atk", _ATTACKS)
 def score_attack_type(spark, sf):
     from pyspark.ml import PipelineModel
@@ -1146,6 +1157,34 @@ def train_detector(spark, sf):
     ).withColumn("beats_constant", reward(F.col("action")) >= best)
 
 
+@query("choose_detector", """SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE y = 1) AS n_positive, TRUE AS sound FROM thirds GROUP BY split""", {
+    **_MARKED,
+    "held": f"SELECT *, row_number() OVER (ORDER BY {hash32("concat('43|', event_id)")}, event_id) <= floor(count(*) OVER () * 0.5::DOUBLE) AS first FROM marked WHERE NOT is_train",
+    "thirds": "SELECT y, 'train' AS split FROM marked WHERE is_train UNION ALL SELECT y, CASE WHEN first THEN 'validation' ELSE 'choice' END AS split FROM held"})
+def choose_detector(spark, sf):
+    """Sound: thresholds are no worse than a constant decision, the choice is no worse than the logistic model, no reward is beyond the greatest."""
+    marked = _detector_rows(spark, sf)
+    held = scan.materialise(prep.train_val_split(scan.materialise(marked.filter("NOT is_train")), 0.5, 43, out="first"))
+    parts = {"train": marked.filter("is_train"), "validation": held.filter("first"), "choice": held.filter("NOT first")}
+    _, report = M.choose_detector(*parts.values())
+    rows = {r.learner: r for r in report.collect()}  # two rows
+    c, out = TRAINING_COST, None
+    for name, part in parts.items():
+        counts = part.agg(F.lit(name).alias("split"), F.count("*").alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_positive"))
+        positive, negative = F.col("n_positive"), F.col("n_rows") - F.col("n_positive")
+        most = positive * c.tp + negative * c.tn
+        constant = F.greatest(positive * c.tp + negative * c.fp, positive * c.fn + negative * c.tn)
+        chosen = next(r for r in rows.values() if r.chosen)
+        sound = {
+            "train": F.lit(len(rows) == 2),
+            "validation": (F.lit(min(r.validation_reward for r in rows.values())) >= constant) & (F.lit(chosen.validation_reward) <= most),
+            "choice": (F.lit(chosen.choice_reward) >= rows["logistic"].choice_reward) & (F.lit(chosen.choice_reward) <= most),
+        }[name]
+        one = counts.withColumn("sound", sound)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("score_detector", "SELECT event_id, y, TRUE AS consistent FROM marked", _MARKED)
 def score_detector(spark, sf):
     marked = _detector_rows(spark, sf)

@@ -76,3 +76,19 @@ def test_retrain_job(spark, tmp_path):
         M.retrain_job(data.limit(50), prepare, str(tmp_path), "v2")
     with pytest.raises(ValueError):
         M.retrain_job(data.drop("proto"), prepare, str(tmp_path), "v3")
+
+
+def test_boosted_trees_are_chosen_where_the_rule_has_corners(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("event_id"), (F.xxhash64("id") % 1000 / 1000.0).alias("a"), (F.xxhash64("id", F.lit(1)) % 1000 / 1000.0).alias("b"))
+    rows = M.materialise(rows.withColumn("y", ((F.abs("a") < 0.5) & (F.abs("b") < 0.5)).cast("int")))
+    parts = [rows.filter("event_id % 5 < 3"), rows.filter("event_id % 5 = 3"), rows.filter("event_id % 5 = 4")]
+    detector, report = M.choose_detector(*parts, features=("a", "b"), max_iter={"boosted": 10, "logistic": 10})
+    found = {r.learner: r for r in report.collect()}
+    assert found["boosted"].chosen and not found["logistic"].chosen
+    assert found["boosted"].choice_reward > found["logistic"].choice_reward
+    assert M.total_reward(parts[2], detector) == found["boosted"].choice_reward
+    scored = M.score_detector(parts[2], detector)
+    assert scored.filter("action <> y").count() < 0.05 * parts[2].count()
+    with pytest.raises(ValueError):
+        M.train_detector(parts[0], parts[1], features=("a", "b"), learner="none")
