@@ -30,6 +30,7 @@ CANDIDATES = 4096
 QUERIES = 1024
 BLOCKS = 2
 LOWEST = -(1 << 62)
+HELD = 1 << 61
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -69,15 +70,21 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 
 def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact: in double precision where no sum can leave its integers."""
+    """Integer inner products, exact: in double precision where no sum can leave its integers.
+
+    Those of larger numbers are added up as whole numbers and held at 2^61, so that the
+    sum of two parts stays below 64.
+    """
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
-    most = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
-    if most < 2**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    if most < 2**62:
-        return q @ x.T
-    raise ValueError("inner products beyond 64 bits")
+    each = np.abs(x.astype(np.float64)).max(axis=1) * float(np.abs(q.astype(np.float64)).max()) * q.shape[1]
+    out = np.empty((len(q), len(x)), np.int64)
+    near, some, far = each < 2.0**53, (each >= 2.0**53) & (each < HELD), each >= HELD
+    out[:, near] = (q.astype(np.float64) @ x[near].astype(np.float64).T).astype(np.int64)
+    out[:, some] = q @ x[some].T
+    if far.any():
+        out[:, far] = np.clip(q.astype(object) @ x[far].astype(object).T, -HELD, HELD).astype(np.int64)
+    return out
 
 
 def _open(row, side: str) -> dict[str, np.ndarray]:
@@ -142,7 +149,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, blocks: int = BLOCK
 
     Candidates are all rows but the query's own (a repeated row is another row), of the same width;
     ties go to the smaller id, null ids first.  With fewer than k candidates all are returned.  No
-    queries or no vectors give an empty table.
+    queries or no vectors give an empty table.  A partial score (of one of ``blocks`` parts of the
+    dimensions) beyond 2^61 is held there, and components beyond 64 bits at the ends of their range.
     """
     numbered = stored(vectors.select("id", "v").withColumn("row", F.monotonically_increasing_id()))
     side = lambda df, s: df.select("width", F.col("chunk").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "rows", "ids", "none", "v")])

@@ -59,8 +59,17 @@ def test_few_and_none(spark):
     assert run(spark, [(1, [1.0])]) == [] and run(spark, []) == []
 
 
+def test_finite_numbers_of_any_size(spark):
+    rows = [(0, [1e30, 1.0]), (20, [2.0**20, 3.0]), (1, [1e30, -1.0]), (2, [2.0**20, 1.0]), (3, [-1e30, 0.0]), (4, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = K.top_k(K.quantised(df), F.col("vec_id") % 20 == 0, 5).collect()
+    order = lambda q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+    # parts beyond 2^61 are held there, so the other part decides
+    assert order(0) == [20, 2, 4, 1, 3] and order(20) == [0, 1, 2, 4, 3]
+    assert {r.vec_id: r.score for r in got if r.query_id == 20}[2] == 2**52 + 3 * 64 * 64
+
+
 def test_products_stay_exact():
     big = np.array([[2**30, 3], [-(2**30), 1]], np.int64)
     assert (K.product(big, big) == np.array([[2**60 + 9, -(2**60) + 3], [-(2**60) + 3, 2**60 + 1]])).all()
-    with pytest.raises(ValueError):
-        K.product(big * 8, big * 8)
+    assert (K.product(big * 8, big * 8) == np.array([[K.HELD, -K.HELD], [-K.HELD, K.HELD]])).all()
