@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import by_hash, stored
 from .graph import components
@@ -196,8 +197,10 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
             )
 
     kind = nodes.schema["embedding"].dataType.simpleString()
+    whole = isinstance(nodes.schema["label"].dataType, IntegralType)
+    number = F.col("label").cast("bigint") if whole else F.xxhash64("label")
     placed = stored(
-        nodes.select("node", F.col("embedding").alias("v"), F.col("label").cast("bigint").alias("label"), "copies")
+        nodes.select("node", F.col("embedding").alias("v"), number.alias("label"), "copies")
         .mapInArrow(place, f"node bigint, v {kind}, label bigint, copies bigint, leaves array<bigint>")
     )
     each = placed.withColumn("leaf", F.explode("leaves")).withColumn("width", F.size("v"))

@@ -93,6 +93,14 @@ def test_bad_rows(spark):
     assert run(spark, []) == []
 
 
+@pytest.mark.parametrize("kind,labels", [("double", (1.2, 1.7)), ("string", ("a", "b"))])
+def test_labels_of_other_types(spark, kind, labels):
+    rows = [(i, [1.0, 0.01 * i], labels[i % 2]) for i in range(6)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<float>, label {kind}")
+    got = sorted(map(tuple, X.near_duplicates(df).collect()))
+    assert got == [(i, 2, i % 2, i < 2) for i in range(6)]
+
+
 @pytest.mark.parametrize("sample", [20_000, 3])
 def test_each_width_has_its_near_duplicates(spark, sample):
     rng = np.random.default_rng(4)
