@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators.scan import checkpoint_root
+from ..functions.times import micros_to_ntz
 from .common import by_hash, stored
 
 LEAST_BYTES = 100
@@ -84,7 +85,7 @@ def records(typed: DataFrame) -> DataFrame:
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", record_id(F.col("page_id"))),
-        _line("WARC-Date", F.date_format(F.timestamp_seconds("at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _line("WARC-Date", F.date_format(micros_to_ntz(F.col("at") * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", F.col("url")), _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(_line("WARC-Refers-To", record_id(F.col("refers_to"))), _line("WARC-Profile", PROFILE))).otherwise(F.lit("")),
         _line("Content-Type", "application/http; msgtype=response"), _line("Content-Length", F.octet_length(block)), F.lit("\r\n"),
