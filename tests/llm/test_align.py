@@ -101,6 +101,14 @@ def test_long_texts_in_parts(monkeypatch):
             assert sum(found.sizes[at[s]][:2] for s in parts).tolist() == [n_a, n_b]
 
 
+def test_both_forms_of_the_byte_level_tokenizer():
+    known = X.Aligner(PATH_A, PATH_B)
+    texts = [t for t in ODD if t and len(t) < 1000] + ["don't they'LL we'd x's 1st 22nd 3.14 (a) --- ...  \u00bd\u2167 \u0e01\u0e33 e\u0301 \u1100\u1161 \ud55c"]
+    assert known.fast_a is not None
+    for text in texts:
+        assert known.tokens(text, True)[0].tolist() == known.tokens(text, False)[0].tolist()
+
+
 @pytest.mark.parametrize("window", [1 << 23, 100])
 def test_windows_of_texts(window):
     known = X.Aligner(PATH_A, PATH_B)
