@@ -126,6 +126,8 @@ def sliced_scan(
     least and the greatest slice, looked up where it is not given.
     """
     keys = list(keys)
+    # said here, so that Spark does not infer it for one of the two copies of ``df`` alone
+    df = df.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]))
     local = W.partitionBy(*keys, slice_col).orderBy(*order)
     first = F.struct(*order) if len(order) > 1 else F.col(order[0])
     totals = df.groupBy(*keys, slice_col).agg(
