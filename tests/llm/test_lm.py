@@ -52,12 +52,68 @@ def test_given_documents(spark):
 
 def test_small_head_and_spills_change_no_count(spark):
     docs = read("/root/testdata/sf0.001", "documents")
-    few = lm.Params(classes=20, head_words=50, spill_words=30, batch=200, noise=8)
+    few = lm.Params(singles=20, blocks=5, head_words=50, spill_words=30, batch=200, noise=8, shard_tokens=5000, slice=100)
     got = lm.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), params=few).collect()
     compare(got, brute(list(zip(docs.doc_id, docs.text))))
 
 
-def test_probabilities_sum_to_one(spark):
+def test_gain_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    gain = []
+    for parts in (4, 200):
+        got = lm.score(docs.repartition(parts), params=lm.Params(shard_tokens=1 << 20)).filter("held_out")
+        row = got.agg(F.sum(F.col("score") - F.col("base_score")).alias("g"), F.sum("n_tokens").alias("n")).first()
+        gain.append(row.g / row.n)
+    assert min(gain) > 0.081 and max(gain) <= 1.1 * min(gain)  # 0.081: an earlier model of 1,022 words, in one partition
+
+
+def test_words_with_context_are_learnt(spark):
+    """Rare words that follow one another: both lie in classes of several words."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 40, 40))) for i in range(400)]
+    few = lm.Params(singles=2, blocks=2, batch=256, shard_tokens=8000)
+    got = [r for r in lm.score(documents(spark, rows), params=few).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.2
+
+
+def test_head_of_equal_counts(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 7) for i in range(3000)] + [(b"top", 9)], "word binary, n bigint")
+    got = lm.head_of(counts, 1000)
+    assert len({bytes(r.word) for r in got}) == 1000 and b"top" in {bytes(r.word) for r in got}
+    assert {bytes(r.word) for r in lm.head_of(counts.repartition(7), 1000)} == {bytes(r.word) for r in got}
+    assert len(lm.head_of(counts, 5000)) == 3001
+
+
+def plain(counts, model, words):
+    """log10 probability of a text, token by token, from the parameters alone."""
+    at = lambda level, a, b, t: float(level.predicted(np.array([a]), np.array([b]))[0] @ level.target[t] + level.bias[t, 0])
+    class_of = counts.class_of
+    a, b, total = 1, 1, 0.0
+    for w in [*words, None]:
+        k = 1 if w is None else counts.head.get(w, 0)
+        c = class_of[k]
+        s = np.array([at(model.classes, class_of[a], class_of[b], x) for x in range(len(counts.starts) - 1)])
+        total += (s[c] - np.log(np.exp(s).sum())) / math.log(10)
+        mates = np.arange(counts.starts[c], counts.starts[c + 1])
+        if len(mates) > 1:
+            s = np.array([at(model.words, a, b, x) for x in mates])
+            total += (s[k - mates[0]] - np.log(np.exp(s).sum())) / math.log(10)
+        a, b = b, k
+    return total
+
+
+def trained(spark, monkeypatch, rows, params):
+    kept = {}
+    real = lm.train
+    monkeypatch.setattr(lm, "train", lambda codes, counts, p: kept.setdefault("m", (counts, real(codes, counts, p)))[1])
+    got = lm.score(documents(spark, rows), params=params).collect()
+    return got, *kept["m"]
+
+
+SMALL = lm.Params(singles=4, blocks=3, head_words=16, batch=64, noise=4, width=4, word_width=3, shard_tokens=300, slice=50)
+
+
+def test_probabilities_sum_to_one(spark, monkeypatch):
     """Over all next words, the unseen one and the end, after any context: by scoring texts that differ in one word."""
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(30)]
@@ -65,41 +121,33 @@ def test_probabilities_sum_to_one(spark):
     seen = {w for i, t in rows if training(i) for w in t.split()}
     held = next(i for i in range(1000, 2000) if not training(i))
     probe = [(held, "w1 w2"), *[(held, f"w1 w2 {w}") for w in [*sorted(seen), "never"]]]
-    got = lm.score(documents(spark, rows + probe), params=lm.Params(classes=8, head_words=12, batch=50, noise=4, width=4))
-    assert got.count() == len(rows + probe)
-    counts = lm.gather(lm.count_words(documents(spark, [r for r in rows if training(r[0])]), lm.Params()), 1, lm.Params(classes=8, head_words=12))
-    model = lm.start(counts.class_counts, lm.Params(width=4))
-    z = model.normalisers()
-    for a, b in ((1, 1), (0, 3), (5, 2)):
-        s = model.predicted(np.array([a]), np.array([b])) @ model.target.T + model.bias
-        assert abs(np.exp(s - z[a, b]).sum() - 1) < 1e-5
-    # within the class of other words the shares sum to one
-    mass = sum(n + 0.1 for w, n in Counter(w for i, t in rows if training(i) for w in t.split()).items()
-               if counts.head.get(w.encode(), (-1, 0))[0] < 0) + 0.1
+    got, counts, model = trained(spark, monkeypatch, rows + probe, SMALL)
+    assert len(got) == len(rows + probe)
+    # a text of three words less its own end, for every third word; and the end after two words
+    ten = lambda w: plain(counts, model, [x.encode() for x in w])
+    count = Counter(w for i, t in rows if training(i) for w in t.split())
+    end_after = {w: ten(["w1", "w2", w]) for w in [*seen, "never"]}
+    two = ten(["w1", "w2"])
+    by_text = sorted(r.score for r in got if r.doc_id == held and r.n_tokens == 4)
+    tail = lambda w: math.log10((count[w] + 0.1) / counts.other_mass) if counts.head.get(w.encode(), 0) == 0 else 0.0
+    want = sorted(end_after[w] + tail("w1") + tail("w2") + tail(w) for w in [*sorted(seen), "never"])
+    assert np.allclose(by_text, want, rtol=1e-4)
+    assert math.isfinite(two)
+    for level, starts in ((model.classes, [0, len(counts.starts) - 1]), (model.words, counts.starts)):
+        assert starts[-1] == len(level.bias)
+    mass = sum(n + 0.1 for w, n in count.items() if w.encode() not in counts.head) + 0.1
     assert abs(mass - counts.other_mass) < 1e-9
 
 
 def test_score_matches_the_model_token_by_token(spark, monkeypatch):
-    rows = [(i, f"a b c a{i % 7} b c d e f g{i % 3}") for i in range(40)]
-    params = lm.Params(classes=5, head_words=8, batch=64, noise=4, width=4)
-    kept = {}
-    real = lm.train
-    monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("m", real(*a)))
-    got = {r.doc_id: r.score for r in lm.score(documents(spark, rows), params=params).collect()}
+    rows = [(i, f"a b c a{i % 7} b c d e f g{i % 3} h{i % 11}") for i in range(40)]
+    got, counts, model = trained(spark, monkeypatch, rows, SMALL)
     count = Counter(w for i, t in rows if training(i) for w in t.encode().split())
-    table = lm.count_words(documents(spark, [r for r in rows if training(r[0])]), params)
-    c = lm.gather(table, sum(training(i) for i, _ in rows), params)
-    m = kept["m"]
-    z = m.normalisers()
-    number = lambda w: max(c.head.get(w, (-1, 0))[0], 0)
+    got = {r.doc_id: r.score for r in got}
     for i, t in rows[:12]:
-        a, b, total = 1, 1, 0.0
-        for w in [*t.encode().split(), None]:
-            k = 1 if w is None else number(w)
-            s = float((m.context[a] * m.place[0] + m.context[b] * m.place[1]) @ m.target[k] + m.bias[k] - z[a, b])
-            total += s / math.log(10) + (math.log10((count[w] + 0.1) / c.other_mass) if k == 0 else 0.0)
-            a, b = b, k
-        assert abs(total - got[i]) < 1e-4 * abs(total)
+        words = t.encode().split()
+        beyond = sum(math.log10((count[w] + 0.1) / counts.other_mass) for w in words if w not in counts.head)
+        assert abs(plain(counts, model, words) + beyond - got[i]) < 1e-4 * abs(got[i])
 
 
 def test_odd_rows(spark):
