@@ -38,16 +38,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_CODE_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+JIT_BYTES = 8000  # HotSpot leaves larger methods to its interpreter
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and goes on from there.
 
     This cuts the lineage, survives lost executors, computes ``df`` once, lets later steps read
     only the columns they need, and gives Spark the true size: a table is broadcast in a later
-    join only if it measures below the broadcast threshold.
+    join only if it measures below the broadcast threshold.  While it is written, stages whose
+    generated code is beyond what the JVM compiles run operator by operator instead of interpreted.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/sentrylake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/sentrylake-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CODE_LIMIT)
+    spark.conf.set(_CODE_LIMIT, str(min(int(before), JIT_BYTES)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CODE_LIMIT, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slice_of(t, width: int) -> Column:
