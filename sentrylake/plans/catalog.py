@@ -129,8 +129,9 @@ def conform_columns(spark, sf):
     return C.conform_columns(C.merge_versions([old, new], _CONFORM), _CONFORM)
 
 
-def _decisions(spark, sf) -> DataFrame:
-    return detect.decisions(fixture.staged(spark, sf), fixture.model, FIXTURE_PARAMS)
+def _decisions(spark, sf, staged: DataFrame | None = None) -> DataFrame:
+    events = fixture.staged(spark, sf) if staged is None else staged
+    return detect.decisions(events, fixture.model, FIXTURE_PARAMS)
 
 
 @query("write_dataset", f"""SELECT event_id, src_ip, dest_ip AS dst_ip, src_port, dest_port AS dst_port, proto, {FEATS_SQL},
@@ -161,9 +162,11 @@ def _training_rows(spark, sf) -> DataFrame:
     """The stored data set of alerts and sampled benign flows, read back."""
     path = f"{fixture.scratch(spark)}/dataset"
     stamp = F.timestamp_micros("t_us").cast("string")
-    flows = B.admit_benign_flows(fixture.flows(spark, sf), FIXTURE_PARAMS)
+    events = fixture.staged(spark, sf)
+    flows = B.admit_benign_flows(B.of_type(events, "flow"), FIXTURE_PARAMS)
     benign = FF.with_flow_features(B.benign_sample(flows, FIXTURE_PARAMS)).withColumn("timestamp", stamp)
-    rows = tables.training_rows(_decisions(spark, sf).withColumn("timestamp", stamp), benign, keep=("event_id",))
+    decided = _decisions(spark, sf, events).withColumn("timestamp", stamp)
+    rows = scan.materialise(tables.training_rows(decided, benign, keep=("event_id",)))  # decided once, written twice
     # one directory per batch number, replaced if the batch is written again
     write = tables.batch_writer(path)
     write(rows, 0)
