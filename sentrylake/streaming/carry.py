@@ -62,7 +62,7 @@ class CarryStream:
 
     def _forget(self, number: int) -> None:
         """State of a micro-batch that no retry can ask for any more."""
-        for kind in ("seen", "mark", "state/pending", *[f"state/{name}" for name in self.held]):
+        for kind in ("came", "seen", "mark", "state/pending", *[f"state/{name}" for name in self.held]):
             self._path(self._at(kind, number), lambda fs, path: fs.delete(path, True))
 
     def result(self) -> DataFrame:
@@ -96,8 +96,10 @@ class CarryStream:
     def _step(self, batch: DataFrame, number: int) -> None:
         before = number - 1 if number > 0 else None
         since = START if before is None else self.spark.read.parquet(self._at("mark", before)).first().upto
-        batch.filter("t_us IS NULL").write.mode("overwrite").parquet(self._at("untimed", number))
-        named = with_event_id(batch.filter("t_us IS NOT NULL"), number)
+        batch.write.mode("overwrite").parquet(self._at("came", number))  # the input is parsed once
+        came = self.spark.read.schema(self.events.schema).parquet(self._at("came", number))
+        came.filter("t_us IS NULL").write.mode("overwrite").parquet(self._at("untimed", number))
+        named = with_event_id(came.filter("t_us IS NOT NULL"), number)
         named.write.mode("overwrite").parquet(self._at("seen", number))
         seen = self.spark.read.schema(self.events.schema).parquet(self._at("seen", number))
         seen.filter(F.col("t_us") <= since).write.mode("overwrite").parquet(self._at("late", number))
