@@ -869,9 +869,10 @@ def active_blocks(spark, sf):
 def _block_stream(spark, sf, with_commands):
     """Requests (and commands) arrive in three parts; some of the first part come with the last, when they are late."""
     work = fixture.scratch(spark)
-    decided = J.drop_whitelisted(_decisions(spark, sf), FIXTURE_PARAMS).filter("should_block")
+    staged = fixture.staged(spark, sf)
+    decided = J.drop_whitelisted(_decisions(spark, sf, staged), FIXTURE_PARAMS).filter("should_block")
     decided = scan.materialise(decided.select("src_ip", "t_us", "should_block", "reason", "confidence", "event_id"))
-    commands = fixture.flows(spark, sf).filter("k % 9 = 0").select(F.col("src_ip").alias("ip"), "t_us", "event_id")
+    commands = B.of_type(staged, "flow").filter("k % 9 = 0").select(F.col("src_ip").alias("ip"), "t_us", "event_id")
     for i in range(3):
         fixture.write_rows_chunk(decided, f"{work}/requests", i)
         closing = None
