@@ -223,9 +223,14 @@ def as_model(detector: Detector, classifier: PipelineModel | None = None):
 
     It keeps all columns and adds ``action``, ``confidence`` and, with a classifier, ``attack_type``.
     The features are computed beside the alert's own columns, from its flow features and ``timestamp``.
+    In batches the alerts and what comes out are written as tables, so the expressions before, within and
+    after the models are planned and compiled apart and no forest is asked twice.
     """
 
     def model(alerts: DataFrame) -> DataFrame:
+        return typed(alerts) if alerts.isStreaming else materialise(typed(materialise(alerts)))
+
+    def typed(alerts: DataFrame) -> DataFrame:
         whole = F.struct(*[F.col(c) for c in alerts.columns]).alias("_alert")
         scored = score_detector(runtime_features_from_dataset(alerts, (whole,)), detector)
         out = scored.select("_alert.*", "action", "confidence")
@@ -233,8 +238,8 @@ def as_model(detector: Detector, classifier: PipelineModel | None = None):
             return out
         whole = F.struct(*[F.col(c) for c in out.columns]).alias("_alert")
         rows = out.withColumn("_local", parse_local("timestamp"))
-        typed = score_attack_type(classifier_features(rows, (whole,), local="_local"), classifier)
-        return typed.select("_alert.*", F.col("predicted_type").alias("attack_type"))
+        found = score_attack_type(classifier_features(rows, (whole,), local="_local"), classifier)
+        return found.select("_alert.*", F.col("predicted_type").alias("attack_type"))
 
     return model
 

@@ -1077,9 +1077,9 @@ def category_feature_set(spark, sf):
     return rounded(prep.category_feature_set(fixture.staged(spark, sf).filter("event_type = 'alert'")), S.CATEGORY_FEATURES)
 
 
-def _attacks(spark, sf) -> DataFrame:
+def _attacks(spark, sf, staged: DataFrame | None = None) -> DataFrame:
     """Decided alerts with an attack label, with the classifier's features."""
-    decided = _decisions(spark, sf).filter(F.col("auto_label").isin("dos", "scan", "bruteforce"))
+    decided = _decisions(spark, sf, staged).filter(F.col("auto_label").isin("dos", "scan", "bruteforce"))
     local = times.micros_to_ntz(F.col("t_us") + fixture.LOCAL_OFFSET_US)
     rows = decided.withColumns({"ts_local": local, "attack_type": L.standardise_reason("auto_label")})
     return scan.materialise(C.classifier_features(rows, ("event_id", "attack_type")))
@@ -1140,9 +1140,9 @@ _MARKED = {
 }
 
 
-def _detector_rows(spark, sf):
+def _detector_rows(spark, sf, staged: DataFrame | None = None):
     """Runtime features of every event; the label is the flow rule's verdict."""
-    feats = FF.with_flow_features(fixture.events(spark, sf))
+    feats = FF.with_flow_features(fixture.events(spark, sf) if staged is None else staged)
     label = L.label_flow_rules("flow_duration", "fwd_pkts_tot", "bwd_pkts_tot", "flow_pkts_per_sec", "dest_port")
     rows = feats.withColumn("y", (label["label"] != "benign").cast("int"))
     return scan.materialise(prep.train_val_split(scan.materialise(C.runtime_features_from_dataset(rows, ("event_id", "y")))))
@@ -1219,12 +1219,13 @@ _FREE = [c for c in _DETECT_COLS if c not in ("action", "confidence", "y_attack"
 def detect_pipeline_trained(spark, sf):
     """Saved and loaded models in the pipeline; SQL checks the columns that do not depend on them."""
     from pyspark.ml import PipelineModel
-    marked, path = _detector_rows(spark, sf), fixture.scratch(spark)
+    staged, path = fixture.staged(spark, sf), fixture.scratch(spark)
+    marked = _detector_rows(spark, sf, staged)
     detector, _ = M.train_detector(marked.filter("is_train"), marked.filter("NOT is_train"))
     detector.save(f"{path}/detector")
-    M.fit_attack_classifier(_attacks(spark, sf)).write().overwrite().save(f"{path}/classifier")
+    M.fit_attack_classifier(_attacks(spark, sf, staged)).write().overwrite().save(f"{path}/classifier")
     model = M.as_model(M.Detector.load(spark, f"{path}/detector"), PipelineModel.load(f"{path}/classifier"))
-    found = detect.detect(fixture.staged(spark, sf), model, FIXTURE_PARAMS)
+    found = detect.detect(staged, model, FIXTURE_PARAMS)
     typed = F.col("attack_type").isin("dos", "scan", "bruteforce").alias("typed")
     out = found.withColumn("label_sources", text.join_list("label_sources")).select(*_FREE, typed)
     return rounded(out, _DETECT_ROUND)
