@@ -17,8 +17,9 @@ Training.  The documents are turned into numbers once.  A hash of the row deals
 about ``shard_tokens`` tokens, and the shards to ``rounds`` rounds, whatever the partitions of the
 table; each document is learnt from once.  In a round every shard is one task, which runs
 noise-contrastive estimation in numpy over the stream of its documents from common parameters.  Then
-each vector and its step size are averaged with the number of its uses in a shard as weight (in two
-steps, so that no group grows with the number of shards), and go to the tasks of the next round.
+each vector and its step size are averaged with the number of its uses in a shard as weight (of up
+to ``fan`` shards at once; of more in two steps, so that no group grows with the number of shards),
+and go to the tasks of the next round.
 
 Scoring.  Log normalisers of all pairs of context classes come from batched matrix products once;
 those within a class from one product per class over a batch of tokens.
@@ -26,18 +27,17 @@ those within a class from one product per class over a batch of tokens.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import pieces, remainder, stored, texts
+from .common import buffers, pieces, remainder, stored
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,7 @@ class Params:
     head_words: int = 100_000
     spill_words: int = 300_000
     block: int = 512  # vectors averaged in one row
+    fan: int = 256  # shards averaged in one group
     slice: int = 1 << 17  # tokens scored together
 
 
@@ -65,32 +66,49 @@ class Params:
 # ---------------------------------------------------------------------------
 
 
-def words_of(text: bytes) -> Iterator[list[bytes]]:
-    """Lower-case words of a text, in parts."""
-    for part in pieces(text):
-        yield part.lower().split()
+def words_of(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Lower-case words of the texts in parts of about ``limit`` bytes: the number of the text of each, and the words."""
+    column = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()), b"")
+    _, at = buffers(batch)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
+        whole = at[hi] - at[lo] <= limit
+        for part in (column.slice(lo, hi - lo),) if whole else (pa.array([x], pa.large_binary()) for x in pieces(column[lo].as_py(), limit)):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(part.view(pa.large_string())))
+            words = lists.flatten().view(pa.large_binary())
+            some = pc.greater(pc.binary_length(words), 0)
+            yield lo + pc.list_parent_indices(lists).filter(some).to_numpy(), words.filter(some)
+        lo = hi
 
 
 def count_words(texts_only: DataFrame, params: Params) -> DataFrame:
     """word, n over all documents, the end of each text not counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
+        held, size = [], 0
 
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"]
-            )
+        def merged() -> pa.Table:
+            words, n = (pa.chunked_array([x.field(k) for x in held]) for k in (0, 1))
+            return pa.table({"word": words, "n": n}).group_by("word").aggregate([("n", "sum")])
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            return iter(pa.table({"word": table["word"].cast(pa.binary()), "n": table["n_sum"]}).to_batches())
 
         for b in batches:
-            for text in texts(b):
-                for words in words_of(text):
-                    count.update(words)
-                if len(count) > params.spill_words:
-                    yield out()
-                    count.clear()
-        if count:
-            yield out()
+            for _, words in words_of(b):
+                held.append(words.value_counts())
+                size += len(held[-1])
+                if size > 2 * params.spill_words:
+                    table = merged()
+                    held, size = [], 0
+                    if len(table) > params.spill_words:
+                        yield from out(table)
+                    else:
+                        held = [pa.StructArray.from_arrays([c.combine_chunks() for c in (table["word"], table["n_sum"])], names=["values", "counts"])]
+                        size = len(table)
+        if held:
+            yield from out(merged())
 
     part = texts_only.select("text").mapInArrow(run, "word binary, n bigint")
     return part.groupBy("word").agg(F.sum("n").alias("n"))
@@ -168,7 +186,11 @@ class Level:
     place: np.ndarray  # 2 x width
 
     def predicted(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return self.context[before] * self.place[0] + self.context[last] * self.place[1]
+        return self.joined(self.context[before], self.context[last])
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Predicted vectors from the context vectors of both places."""
+        return a * self.place[0] + b * self.place[1]
 
     def copy(self) -> Level:
         return Level(*(getattr(self, v).copy() for v in TABLES))
@@ -246,11 +268,11 @@ class Learner:
         getattr(self.level, name)[hit] += self.rate * g / np.sqrt(squares)[:, None]
 
     def used(self, name: str, rows: np.ndarray) -> None:
-        self.uses[name] += np.bincount(rows, minlength=len(self.uses[name]))
+        np.add.at(self.uses[name], rows, np.float32(1))
 
-    def learn(self, before, last, token, up, gr, r) -> None:
-        """Update after a batch: ``up`` the pull on the tokens, ``gr`` the gradient of the predicted vectors."""
-        own, a, b = self.level, self.level.context[before], self.level.context[last]
+    def learn(self, before, last, token, a, b, gr) -> None:
+        """Update after a batch: ``a`` and ``b`` the context vectors, ``gr`` the gradient of the predicted vectors."""
+        own = self.level
         place = np.stack([np.einsum("ij,ij->j", gr, a), np.einsum("ij,ij->j", gr, b)])
         self.step("context", (before, gr * own.place[0]), (last, gr * own.place[1]))
         self.step("place", (np.arange(2), place))
@@ -285,14 +307,15 @@ def nce(model: Model, stream: Iterator[tuple], counts: Counts, params: Params, s
         a, b, t = class_of[before], class_of[last], class_of[token]
         own = upper.level
         drawn = np.minimum(np.searchsorted(edges, rng.random(params.noise)), n - 1)
-        r = own.predicted(a, b)
+        x, y = own.context[a], own.context[b]
+        r = own.joined(x, y)
         to, q = own.target[t], own.target[drawn]
         up = _odds(np.einsum("ij,ij->i", r, to) + own.bias[t, 0] - log_noise[t])
         down = -_odds(log_noise[drawn] - own.bias[drawn, 0] - r @ q.T)
         gr = up[:, None] * to + down @ q
         upper.step("target", (t, up[:, None] * r), (drawn, down.T @ r))
         upper.step("bias", (t, up[:, None]), (drawn, down.sum(0)[:, None]))
-        upper.learn(a, b, t, up, gr, r)
+        upper.learn(a, b, t, x, y, gr)
         # words within classes of several words
         inner = np.flatnonzero(several[t])
         if len(inner):
@@ -301,7 +324,8 @@ def nce(model: Model, stream: Iterator[tuple], counts: Counts, params: Params, s
             low, high = smooth[counts.starts[t]], smooth[counts.starts[t + 1]]
             at = low[:, None] + rng.random((len(inner), params.word_noise)) * (high - low)[:, None]
             drawn = np.clip(np.searchsorted(smooth, at, side="right") - 1, counts.starts[t][:, None], counts.starts[t + 1][:, None] - 1)
-            r = own.predicted(before, last)
+            x, y = own.context[before], own.context[last]
+            r = own.joined(x, y)
             to, q = own.target[token], own.target[drawn]
             up = _odds(np.einsum("ij,ij->i", r, to) + own.bias[token, 0] - log_word_noise[token])
             down = -_odds(log_word_noise[drawn] - own.bias[drawn, 0] - np.einsum("ij,ikj->ik", r, q))
@@ -309,7 +333,7 @@ def nce(model: Model, stream: Iterator[tuple], counts: Counts, params: Params, s
             noise = drawn.ravel()
             lower.step("target", (token, up[:, None] * r), (noise, (down[:, :, None] * r[:, None, :]).reshape(len(noise), -1)))
             lower.step("bias", (token, up[:, None]), (noise, down.reshape(-1, 1)))
-            lower.learn(before, last, token, up, gr, r)
+            lower.learn(before, last, token, x, y, gr)
     return upper, lower
 
 
@@ -373,24 +397,26 @@ def train(codes: DataFrame, counts: Counts, params: Params) -> Model:
                         own = [uses[x : x + params.block] for x in firsts]
                         scales = [learner.squares[name][x : x + params.block] * u for x, u in zip(firsts, own)]
                         sums = [(rows[x : x + params.block] * u[:, None]).ravel() for x, u in zip(firsts, own)]
-                        whole = [np.full(len(firsts), z, np.int32) for z in (number, k, 0, part % 64)]
+                        whole = [np.full(len(firsts), z, np.int32) for z in (number, k, 0, part // params.fan)]
                         whole[2] = np.array(firsts, np.int32) // params.block
                         yield pa.RecordBatch.from_arrays(
                             [*map(pa.array, whole), *(pa.array(x, pa.list_(pa.float32())) for x in (own, scales, sums))],
                             names=["level", "name", "block", "part", "uses", "squares", "v"],
                         )
 
-        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({
-                "level": [key[0]], "name": [key[1]], "block": [key[2]], "part": [0],
-                **{c: [np.sum(np.stack(pdf[c].to_numpy()), axis=0, dtype=np.float64).astype(np.float32)] for c in ("uses", "squares", "v")},
-            })
+        def add(key: tuple, table: pa.Table) -> pa.Table:
+            names = ("uses", "squares", "v")
+            sums = [table[c].combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(0, dtype=np.float64).astype(np.float32) for c in names]
+            firsts = [pa.array([x.as_py()], pa.int32()) for x in (*key[:3], table["part"][0])]
+            return pa.table([*firsts, *(pa.array([x], pa.list_(pa.float32())) for x in sums)], names=["level", "name", "block", "part", *names])
 
         mine = codes.filter(F.pmod(shard, F.lit(rounds)) == turn)
-        dealt = mine.repartitionById(-(-shards // rounds), F.floor(shard / rounds).cast("int")).select("codes")
+        together = -(-shards // rounds)
+        dealt = mine.repartitionById(together, F.floor(shard / rounds).cast("int")).select("codes")
         keys = ["level", "name", "block"]
-        sums = dealt.mapInArrow(run, schema).groupBy(*keys, "part").applyInPandas(add, schema)
-        sums = sums.groupBy(*keys).applyInPandas(add, schema)
+        sums = dealt.mapInArrow(run, schema)
+        for by in ([*keys, "part"], keys)[0 if together > params.fan else 1 :]:
+            sums = sums.groupBy(*by).applyInArrow(add, schema)
         model = Model(model.classes.copy(), model.words.copy(), tuple({k: x.copy() for k, x in s.items()} for s in model.squares))
         for r in sums.toLocalIterator():  # the parameters: bounded by the head, whatever the corpus
             rows = getattr((model.classes, model.words)[r.level], TABLES[r.name])
@@ -412,31 +438,29 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts.head)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    class Numbers(dict):
-        def __missing__(self, word):
-            return 0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers(shared.value)
+        head = pa.array(sorted(shared.value, key=shared.value.get), pa.large_binary())
         for b in batches:
-            codes, words, many, sizes, tails = [], [], [], [0], [0]
-            for text in texts(b):
-                tail: Counter = Counter()
-                n = 1
-                for found in words_of(text):
-                    own = np.fromiter(map(number.__getitem__, found), np.int32, len(found))
-                    tail.update([found[k] for k in np.flatnonzero(own == 0)])
-                    codes.append(own)
-                    n += len(own)
-                codes.append(np.ones(1, np.int32))
-                sizes.append(n)
-                words += list(tail)
-                many += list(tail.values())
-                tails.append(len(tail))
-            at, of = (pa.array(np.cumsum(x), pa.int32()) for x in (sizes, tails))
+            of, own, beyond, tail = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [pa.array([], pa.large_binary())]
+            for text, words in words_of(b):
+                of.append(text)
+                own.append(pc.fill_null(pc.index_in(words, value_set=head), -2).to_numpy() + np.int32(2))
+                far = own[-1] == 0
+                beyond.append(text[far])
+                tail.append(words.filter(pa.array(far)))
+            of, own, beyond = (np.concatenate(x) for x in (of, own, beyond))
+            codes = np.ones(len(own) + b.num_rows, np.int32)
+            codes[np.arange(len(own)) + of] = own  # as many ends stand before a word as texts
+            sizes = np.bincount(of, minlength=b.num_rows) + 1
+            different = pa.concat_arrays(tail).dictionary_encode()
+            n = max(1, len(different.dictionary))
+            pairs, many = np.unique(beyond * n + different.indices.to_numpy(), return_counts=True)
+            tails = np.bincount(pairs // n, minlength=b.num_rows)
+            at, of = (pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32()) for x in (sizes, tails))
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(np.concatenate(codes) if codes else [], pa.int32())),
-                pa.ListArray.from_arrays(of, pa.array(words, pa.binary())), pa.ListArray.from_arrays(of, pa.array(many, pa.int64())),
+                b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(codes)),
+                pa.ListArray.from_arrays(of, different.dictionary.take(pa.array(pairs % n)).cast(pa.binary())),
+                pa.ListArray.from_arrays(of, pa.array(many, pa.int64())),
             ], names=["doc_id", "held_out", "codes", "words", "many"])
 
     schema = f"doc_id {kind}, held_out boolean, codes array<int>, words array<binary>, many array<bigint>"

@@ -3,8 +3,10 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sentrylake.llm import lm
@@ -158,3 +160,29 @@ def test_odd_rows(spark):
     none = [i for i in range(200) if not training(i)][:3]
     got = lm.score(documents(spark, [(i, "a b") for i in none])).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+
+
+def test_parameters_of_a_round_are_dealt_once(spark, monkeypatch):
+    """And in two steps beyond ``fan`` shards, with the same scores."""
+    calls, kind = [], type(spark.range(1).groupBy("id"))
+    for name in ("applyInPandas", "applyInArrow"):
+        monkeypatch.setattr(kind, name, lambda self, *a, real=getattr(kind, name): (calls.append(1), real(self, *a))[1])
+    rows = [(i, f"a b c a{i % 7} b c d e f g{i % 3} h{i % 11}") for i in range(60)]
+    few, found = replace(SMALL, rounds=2, shard_tokens=100), []
+    for params, steps in ((few, 1), (replace(few, fan=2), 2)):
+        calls.clear()
+        found.append({r.doc_id: r.score for r in lm.score(documents(spark, rows).coalesce(1), params=params).collect()})
+        assert len(calls) == 2 * steps
+    assert len(found[0]) == 60 and all(math.isclose(s, found[1][i], rel_tol=1e-5) for i, s in found[0].items())
+
+
+def test_words_of_parts_are_the_words():
+    odd = [None, "", " \t", "A b\x0bC\x0c d\r\n", "é\xa0É Z", "x" * 50, " y" * 40, None, "one TWO three " * 9, "end"]
+    for column in (pa.array(odd), pa.array(["cut", *odd]).slice(1), pa.array(odd, pa.large_string())):
+        batch = pa.RecordBatch.from_arrays([column], names=["text"])
+        for limit in (16, 100, 1 << 22):
+            got = [[] for _ in odd]
+            for of, words in lm.words_of(batch, limit):
+                for k, w in zip(of, words.to_pylist(), strict=True):
+                    got[k].append(w)
+            assert got == [(t or "").encode().lower().split() for t in odd]
