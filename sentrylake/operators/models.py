@@ -9,7 +9,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +24,7 @@ from .filters import require_rows, valid_timestamps
 from .columns import classifier_features, runtime_features_from_dataset
 from .prep import apply_minmax, balanced_weights, fit_minmax, stratified_split, train_val_split
 from .scan import materialise
+from .trees import fit_forest
 
 SCORE_STEPS = 10_000
 
@@ -46,27 +46,24 @@ def fit_attack_classifier(
 
     Feature order and class names are part of the returned pipeline.
     """
+    if model_type not in ("rf", "mlp"):
+        raise ValueError("model_type must be 'rf' or 'mlp'")
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip")
     fitted = indexer.fit(train)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
-    prepared = [assembler]
+    names = IndexToString(inputCol="_p", outputCol="predicted_type", labels=fitted.labels)
+    weighted = fitted.transform(balanced_weights(train, label, "_w"))
     if model_type == "rf":
-        learner = RandomForestClassifier(
-            featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_p",
-            numTrees=trees, maxDepth=depth, seed=seed,
-        )
-    elif model_type == "mlp":
+        return PipelineModel(stages=[fit_forest(weighted, features, trees, depth, seed), names])
+    prepared = [
+        VectorAssembler(inputCols=list(features), outputCol="_x"),
         # byte counts next to ports in 0..1: a perceptron needs them on one scale
-        prepared.append(StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True))
-        learner = MultilayerPerceptronClassifier(
-            featuresCol="_z", labelCol="_y", predictionCol="_p",
-            layers=[len(features), 128, 64, len(fitted.labels)], maxIter=100, seed=seed,
-        )
-    else:
-        raise ValueError("model_type must be 'rf' or 'mlp'")
-    names = IndexToString(inputCol="_p", outputCol="predicted_type", labels=fitted.labels)
-    weighted = balanced_weights(train, label, "_w")
-    body = Pipeline(stages=[*prepared, learner, names]).fit(fitted.transform(weighted))
+        StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
+    ]
+    learner = MultilayerPerceptronClassifier(
+        featuresCol="_z", labelCol="_y", predictionCol="_p",
+        layers=[len(features), 128, 64, len(fitted.labels)], maxIter=100, seed=seed,
+    )
+    body = Pipeline(stages=[*prepared, learner, names]).fit(weighted)
     return PipelineModel(stages=body.stages)
 
 
