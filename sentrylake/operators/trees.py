@@ -31,7 +31,7 @@ SAMPLE = 10_000  # rows that place the cuts, as Spark ML takes
 BLOCK = 1 << 14  # rows packed together
 COUNTED = 8  # blocks counted together
 STEP = 4  # levels after which rows in finished leaves are dropped from a pass
-NODES = 1 << 15  # nodes of all trees counted in one pass: bounds the counts a task holds
+CELLS = 1 << 24  # counts that a task holds in one pass over the rows; trees beyond them wait for the next
 CHUNK = 64  # nodes whose counts travel together
 _LEAF = 255  # a cut that sends every row to the "left", which for a leaf is itself
 
@@ -162,7 +162,7 @@ def _counts(blocks: DataFrame, open_nodes: dict, level: int, n_features: int, n_
                 if some.any():
                     yield pa.RecordBatch.from_pydict({
                         "tree": pa.array([tree], pa.int32()), "chunk": pa.array([chunk], pa.int32()),
-                        "counts": pa.array([some.tobytes()], pa.binary())})
+                        "counts": pa.array([some.astype(np.uint32).tobytes()], pa.binary())})  # a partition has no 2^28 rows
 
     return blocks.mapInArrow(run, "tree int, chunk int, counts binary")
 
@@ -191,7 +191,7 @@ def best_splits(counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np
 
 def _split(counted: DataFrame, n_offered: int, n_classes: int, weights: np.ndarray) -> DataFrame:
     def best(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int64) for c in parts.column("counts").to_pylist())
+        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in parts.column("counts").to_pylist())
         feature, cut, every, left = best_splits(total.reshape(-1, n_offered, BINS, n_classes), weights)
         found = np.column_stack([feature, cut, every, left]).astype(np.int64)
         return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()),
@@ -231,8 +231,8 @@ class _Tree:
 def fit_forest(rows: DataFrame, features: Sequence[str], trees: int = 300, depth: int = 12, seed: int = 42) -> ForestModel:
     """Forest on ``features`` of rows with a class number ``_y`` and a weight ``_w`` that the class decides.
 
-    Each level is one pass over the packed rows, or several where the trees have more than ``NODES``
-    nodes to split; a task holds its blocks and the counts of these nodes, the driver the trees.
+    Each level is one pass over the packed rows, or several where the nodes to split need more than
+    ``CELLS`` counts; a task holds some of its blocks and these counts, the driver the trees.
     """
     per_class = {int(r[0]): (r[1], r[2]) for r in rows.groupBy("_y").agg(F.max("_w"), F.count("*")).collect()}
     if not per_class:
@@ -247,12 +247,12 @@ def fit_forest(rows: DataFrame, features: Sequence[str], trees: int = 300, depth
     blocks = _packed(whole, features, cuts)
     bootstrap = trees > 1
     n_offered = ceil(sqrt(len(features))) if bootstrap else len(features)
-    forest = [_Tree(n_classes) for _ in range(trees)]
+    forest, room = [_Tree(n_classes) for _ in range(trees)], CELLS // (n_offered * BINS * n_classes)
     for level in range(depth):
         waiting = [t for t in range(trees) if len(forest[t].open)]
         while waiting:
             group, held = {}, 0
-            while waiting and (not group or held + len(forest[waiting[0]].open) <= NODES):
+            while waiting and (not group or held + len(forest[waiting[0]].open) <= room):
                 t = waiting.pop(0)
                 tree = forest[t]
                 slots = np.full(len(tree.nodes), -1, np.int64)

@@ -63,7 +63,7 @@ def test_one_tree_is_spark_mls(spark):
 def test_passes_over_few_nodes_give_the_same_forest(spark, monkeypatch):
     rows = corners(spark)
     whole = T.fit_forest(rows, ["a", "b", "c"], trees=8, depth=6)
-    monkeypatch.setattr(T, "NODES", 3)
+    monkeypatch.setattr(T, "CELLS", 3 * 2 * T.BINS * 3)  # three nodes
     parted = T.fit_forest(rows, ["a", "b", "c"], trees=8, depth=6)
     for (n, c, k), (m, d, j) in zip(whole.trees, parted.trees, strict=True):
         assert n.tolist() == m.tolist() and c.tolist() == d.tolist() and k == j <= 6
